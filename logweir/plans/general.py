@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import label_text
-from ..operators import compaction, dedup, drift, skew
+from ..operators import compaction, dedup, drift, logparse, skew
 from ..session import table
 
 #: Share of a table's rows from which a key counts as heavy, and rows of a key's chunk.
@@ -19,6 +19,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("rec_key is not null").select("obj_kind", "stream_name", "rec_key")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each log entry with its time, level and component."""
+    return logparse.entries(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "query_results"))
+
+
+def p2_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p2_found``, with the entry's message over all its lines."""
+    return logparse.entries(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "query_results"), texts=True)
+
+
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of log lines, with the number of lines of each."""
+    lines = logparse.parsed_records(table(spark, sf_dir, "wal_records")).select("shape", "head")
+    more = logparse.parsed_results(table(spark, sf_dir, "query_results")).select("shape", "head")
+    found = logparse.templates(logparse.shape_counts(lines.unionAll(more)))
+    return found.groupBy("template").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_shapes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each surplus delivery of a job."""
     return dedup.surplus_rows(spark, f"{sf_dir}/queue_jobs.parquet", dedup.id128(F.col("id")), ["delivered_at", "delivery_no"], ["delivery_no"])
@@ -65,7 +83,7 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.one_table(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "archive_columns"), ["rec_no", "file_no"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_jobs, p5_found, p5_runs, p6_found, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_messages, p2_templates, p4_found, p4_jobs, p5_found, p5_runs, p6_found, p6_table)}
 
 _ID = r"lpad(ltrim(regexp_replace(lower(id), '^\s*(urn:uuid:|0x)|[\s{}-]', '', 'g'), '0'), 32, '0')"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER BY delivered_at, delivery_no) AS rn FROM queue_jobs"
