@@ -45,9 +45,10 @@ def exploded(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """
     read = df.select(*keep, F.try_parse_json(document).alias("_v"))
     return df.sparkSession.sql(
-        f"SELECT {', '.join(f'`{c}`' for c in keep)}, e.key AS col_key, e.value AS value FROM {{t}}, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL", t=read
+        f"SELECT {''.join(f'`{c}`, ' for c in keep)}e.key AS col_key, e.value AS value FROM {{t}}, LATERAL variant_explode(_v) AS e WHERE e.key IS NOT NULL", t=read
     )
 
 
 def text_of(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    """A VARIANT value as text; objects and arrays as JSON, JSON null as null."""
+    return F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
