@@ -62,9 +62,11 @@ _LEVEL = (
     r"|(?<=\|)[VTDINWEFC](?=\|)|(?<=\s)[VTDINWEFC](?=/)|(?<=\()(?:TT|DD|II|NN|WW|EE|FF|CC)(?=\))"
     r'|(?<="(?:level|lvl|severity)":)[1-6]0(?=[,}])'
 )
-_NAME = r"[a-z_][\w-]*(?:[./][a-z_][\w-]*)+"
-_WORD = r"[\w*#.-]*\d[\w#.-]*"
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
+# Matches start at a word's start and give nothing back, so that they take linear time on a text
+# without blanks; nothing is repeated but single characters and short parts, which needs no stack.
+_NAME = r"(?<![\w-])[a-z_][\w-]*+(?:[./][a-z_][\w-]*+){1,16}"
+_WORD = r"(?<![\w*#.-])[[\w*#.-]&&[^\d]]*+\d[\w#.-]*+"
+_QUOTED = r'"[\s\S]*?(?<!(?<!\\)\\)"'
 
 
 def without_colour(line: Column) -> Column:
@@ -135,9 +137,12 @@ def templates(shapes: DataFrame) -> DataFrame:
     A token is constant if, of what follows its two predecessors, its share is CONSTANT or more, a
     tenth of that for a first token, which has one predecessor only; typed tokens are variable. Trigram and bigram dictionaries are joined by key, never collected.
     """
-    spots = shapes.select("shape", "n", "head", F.posexplode(tokens(F.col("shape"))).alias("i", "token"), tokens(F.col("shape")).alias("t")).where("i > 0 and token <> '$'")
-    before = F.when(F.col("i") >= 2, F.slice("t", F.col("i") - 1, F.lit(2))).otherwise(F.slice("t", F.lit(1), F.lit(1)))
-    spots = spots.withColumns({"bi": F.array_join(before, " "), "tri": F.concat_ws(" ", F.array_join(before, " "), "token")}).drop("t")
+    # counted from 1 the start mark is token 1; each other token brings its two predecessors along
+    t = F.col("t")
+    before = lambda i: F.array_join(F.when(i >= 3, F.slice(t, i - 2, 2)).otherwise(F.slice(t, 1, 1)), " ")
+    each = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(t) - 1)), lambda i: F.struct((i - 1).alias("i"), F.get(t, i - 1).alias("token"), before(i).alias("bi")))
+    spots = shapes.withColumn("t", tokens(F.col("shape"))).select("shape", "n", "head", F.explode(each).alias("e")).select("shape", "n", "head", "e.*").where("token <> '$'")
+    spots = spots.withColumn("tri", F.concat_ws(" ", "bi", "token"))
     two, three = ngrams(shapes, 2), ngrams(shapes, 3)
     starts = shapes.select(F.lit("^").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
     told = spots.join(three.unionAll(two).select(F.col("gram").alias("tri"), F.col("n").alias("n3")), "tri", "left").join(two.unionAll(starts).select(F.col("gram").alias("bi"), F.col("n").alias("n2")), "bi", "left")
@@ -221,7 +226,7 @@ def message_of(line: Column, head: Column) -> Column:
     kinds = {TIME: _TIME, GTIME: _GTIME[1:], LEVEL: f"(?:{_LEVEL})", NAME: _NAME, WORD: _WORD, HOST: r"\S+", PROGRAM: r"[^\s\[]+", " ": r"[ \t]+"}
     for mark, pattern in kinds.items():
         plain = F.replace(plain, F.lit(mark), F.lit(pattern))
-    keyed = F.regexp_extract(line, r'(?:^| )(?:msg|message|text)=(?:"((?:[^"\\]|\\.)*)")', 1)
+    keyed = F.regexp_extract(line, r'(?:^| )(?:msg|message|text)="([\s\S]*?)(?<!(?<!\\)\\)"', 1)
     return (
         F.when(line.startswith('{"'), F.coalesce(F.get_json_object(line, "$.msg"), F.get_json_object(line, "$.message"), F.get_json_object(line, "$.text")))
         .when(head.contains("="), F.regexp_replace(keyed, r"\\(.)", "$1"))
