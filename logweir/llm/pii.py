@@ -73,7 +73,7 @@ _PHONE = re.compile(
 )
 _EN = rf"(?<![\w.-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}{_EN_STREET}(?!\w){_UNIT}"
 _IT = rf"\b{_IT_STREET}(?: (?:dei|degli|delle|della|dello|del|dell['’]|di|da|la|{_CAP})){{1,4}},? (?:n\.? ?|n° ?)?\d{{1,4}}(?:/?[A-Za-z]\b)?{_UNIT}"
-_DE = rf"\b(?:{_DE_FIRST}[A-ZÄÖÜ][\wäöüß-]*{_DE_STREET}|[A-ZÄÖÜ][\wäöüß-]+ (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)|(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter der|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{{1,4}}(?: ?[a-z]\b)?{_UNIT}"
+_DE = rf"(?<![\w-])(?:{_DE_FIRST}[A-ZÄÖÜ][\wäöüß-]*{_DE_STREET}|[A-ZÄÖÜ][\wäöüß-]+ (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)|(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter der|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{{1,4}}(?: ?[a-z]\b)?{_UNIT}"
 _STREET = re.compile(rf"(?P<en>{_EN})|(?P<it>{_IT})|(?P<de>{_DE})")
 _TOWN = rf"{_CAP}(?: (?:am|an der|im|in|sul|sur|on|upon|bei|ob der|le|la|di|del|de|{_CAP})){{0,3}}"
 _AFTER_CODE = re.compile(rf"(?:, ?|,?\n)(\d{{4,5}}) ({_TOWN})")
