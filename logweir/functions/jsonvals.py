@@ -38,6 +38,18 @@ def widened(kinds: Column) -> Column:
     )
 
 
+def text_type(text: Column) -> Column:
+    """Type of what a text spells: int64, float64, bool or string; null for a null text."""
+    plain = F.trim(text)
+    return (
+        F.when(text.isNull(), F.lit(None))
+        .when(plain.rlike(r"^[+-]?\d{1,19}\z") & plain.try_cast("bigint").isNotNull(), "int64")
+        .when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), "float64")
+        .when(F.lower(plain).isin("true", "false"), "bool")
+        .otherwise("string")
+    )
+
+
 def exploded(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
     """One row per field of each JSON object: the kept columns, ``col_key`` and VARIANT ``value``.
 

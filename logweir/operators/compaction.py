@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch, written
@@ -130,7 +130,7 @@ def wal_records(objects: DataFrame) -> DataFrame:
     )
 
 
-def queue_records(objects: DataFrame, job_key: Column | None = None) -> DataFrame:
+def queue_records(objects: DataFrame) -> DataFrame:
     """Jobs of queue files, as ``wal_records``; a file that is no JSON holds none."""
     files = objects.where(F.col("obj_key").startswith("queue/")).select("obj_key", "modified_at", F.try_parse_json("raw").alias("v"))
     jobs = F.try_variant_get("v", "$.jobs", "array<variant>")

@@ -104,6 +104,16 @@ def search_segments(segments: list[DataFrame], query: str) -> DataFrame:
     return search(every, query)
 
 
+def time_rollup(index: DataFrame, unit: str) -> DataFrame:
+    """(trigram, bucket, n_documents): a coarser index that tells in which times a trigram occurs.
+
+    Its document numbers carry their time, so no document is read; a search skips times first.
+    """
+    docs = index.select("trigram", "stream_id", "document_id").distinct()
+    at = F.date_trunc(unit, F.timestamp_millis(F.shiftright("document_id", 20)))
+    return docs.groupBy("trigram", at.alias("bucket")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 def bitmaps(index: DataFrame, number: Column) -> DataFrame:
     """(trigram, bucket, bits, n): posting lists as bitmaps of document numbers."""
     rows = index.select("trigram", number.alias("no")).distinct()

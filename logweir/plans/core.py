@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, ids
 from ..functions.labels import label_text, stream_id
-from ..functions.jsonvals import exploded, json_type
+from ..functions.jsonvals import exploded, json_type, text_type
 from ..operators import archive, query, queue, skew, trigram
 from ..session import scratch, table
 from ..sources import blobs, wal
@@ -163,6 +163,15 @@ def json_number_types(spark, sf):
     return fields.groupBy("col_key", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN t IS NULL THEN NULL WHEN regexp_full_match(t, '[+-]?\\d{1,19}') THEN 'int64'
+    WHEN regexp_full_match(t, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN 'float64' WHEN lower(t) IN ('true', 'false') THEN 'bool' ELSE 'string' END AS kind
+    FROM (SELECT trim(unnest(string_split(text, ' '))) AS t FROM documents) AS w) AS k GROUP BY kind""")
+def typed_texts(spark, sf):
+    """Typed values inside texts: what the words of all documents spell."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("t"))
+    return words.groupBy(text_type(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- streams and ids
 
 
@@ -335,6 +344,12 @@ def trigram_bitmaps(spark, sf):
     return trigram.bitmaps(index, F.col("no").bitwiseAND(F.lit((1 << 62) - 1))).groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
+@_query("SELECT lower(trigram) AS trigram, date_trunc('day', make_timestamp((document_id >> 20) * 1000)) AS bucket, count(DISTINCT (stream_id, document_id)) AS n_documents FROM postings GROUP BY 1, 2")
+def trigram_time_rollup(spark, sf):
+    index = table(spark, sf, "postings").withColumn("trigram", F.lower("trigram"))
+    return trigram.time_rollup(index, "day").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 @_query("SELECT stream_id, count(DISTINCT document_id) AS n_documents, min(document_id) AS first_id, max(document_id) AS last_id FROM postings GROUP BY stream_id")
 def matches_by_stream(spark, sf):
     docs = table(spark, sf, "postings").groupBy("stream_id", "document_id").agg(F.count(F.lit(1)).alias("n"))
