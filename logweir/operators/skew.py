@@ -12,6 +12,8 @@ ordered by the given tie-breaker, repeated rows are all counted, an empty input
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,4 +103,5 @@ def keyed_runs(df: DataFrame, key: Column, value: Column, tie: Column, chunk_row
 def heavy_keys(runs: DataFrame, share: float) -> DataFrame:
     """Keys of ``keyed_runs`` that hold at least ``share`` of all rows; at most 1 / share rows."""
     total = runs.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("t")).collect()[0]["t"]
-    return runs.where(F.col("n_rows") >= F.lit(share) * F.lit(total))
+    # rounded, so that a key of exactly the share counts whatever its binary fraction
+    return runs.where(F.col("n_rows") >= F.lit(math.ceil(round(share * total, 6))))

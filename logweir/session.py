@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     On a cluster a missing setting is an error, since a machine-local folder would not be shared.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if folder:
+        # with its scheme, so that executors' Python finds the same place as Spark does
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
@@ -49,8 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hadoop_delete(spark: SparkSession, path: str) -> bool:
-    """Removes a path with whatever file system its scheme names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def drop_scratch(spark: SparkSession) -> bool:
+    """Removes all intermediate tables below the shared folder, once nothing reads them any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/logweir")
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
