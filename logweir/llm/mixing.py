@@ -4,7 +4,8 @@ Tokens are summed per cell of source, language and topic. The cells' weights are
 the sources' target shares and to the corpus' own shares of languages and topics, and capped by
 the source's repeats; the source comes last, so its shares are met as far as the caps allow. A
 text's expected number of copies is its cell's weight: the whole part is taken for sure, the
-rest by a number derived from the row alone, so a lost task repeats the same choice.
+rest by a number derived from the row alone, so a lost task repeats the same choice. The
+probabilities of each source are scaled so that its tokens come out as near as single texts allow.
 
 Cells are bounded: sources come from the targets, languages are two letters, topics a fixed list.
 
@@ -28,6 +29,8 @@ TOPICS = ["wal", "archive", "stream", "trigram", "queue", "blob", "cache", "leas
 ROUNDS = 200
 #: Numbers that decide the rest are multiples of this.
 GRAIN = 1 << 30
+#: Steps of equal probability by which the draws are calibrated.
+STEPS = 1000
 
 
 def plain_name(name: Column) -> Column:
@@ -100,9 +103,37 @@ def mixed(rows: DataFrame, targets: DataFrame, total: float | None = None) -> Da
     weights = rake(cells, shares, total)
     spark = rows.sparkSession
     table = spark.createDataFrame([(c["source"], c["lang"], c["topic"], float(w)) for c, w in zip(cells, weights)], "source string, lang string, topic string, weight double")
-    weight = F.col("weight")
-    repeats = (F.floor(weight) + (F.col("draw") < (weight - F.floor(weight)) * GRAIN).cast("int")).cast("int")
-    return rows.join(F.broadcast(table), ["source", "lang", "topic"]).withColumn("repeats", F.least("max_repeats", repeats)).where("repeats > 0")
+    whole = F.floor("weight").cast("int")
+    part = F.col("weight") - whole
+    late = F.floor(F.col("draw") / GRAIN / part * STEPS)
+    step = F.when(part > 0, F.least(F.lit(2 * STEPS), late)).otherwise(2 * STEPS).cast("int")
+    drawn = rows.join(F.broadcast(table), ["source", "lang", "topic"]).withColumns({"whole": whole, "step": step})
+    size = F.col("n_tokens")
+    sums = drawn.groupBy("source", "step").agg(F.sum(size * F.col("weight")).alias("goal"), F.sum(size * F.col("whole")).alias("sure"), F.sum(size).alias("tokens")).collect()
+    last = calibrated([r.asDict() for r in sums])
+    limit = F.create_map(*[F.lit(x) for pair in last.items() for x in pair]) if last else F.create_map(F.lit(""), F.lit(0))
+    repeats = F.col("whole") + (F.col("step") < limit[F.col("source")]).cast("int")
+    return drawn.withColumn("repeats", F.least("max_repeats", repeats)).where("repeats > 0").drop("whole", "step", "weight")
+
+
+def calibrated(sums: list[dict]) -> dict[str, int]:
+    """Per source the step before which rests are taken, so that its tokens come closest to the goal.
+
+    Texts lie on 2 * STEPS steps by their draw over their probability; without calibration the
+    limit would be STEPS, and the tokens reached would vary with the draws.
+    """
+    out = {}
+    for source in {r["source"] for r in sums}:
+        own = sorted((r for r in sums if r["source"] == source), key=lambda r: r["step"])
+        need = sum(r["goal"] - r["sure"] for r in own)
+        best, far, taken = 0, abs(need), 0
+        for r in own:
+            if r["step"] < 2 * STEPS:
+                taken += r["tokens"]
+                if abs(taken - need) < far:
+                    best, far = r["step"] + 1, abs(taken - need)
+        out[source] = best
+    return out
 
 
 def share_report(chosen: DataFrame, targets: DataFrame) -> DataFrame:
