@@ -83,6 +83,7 @@ _PAIR = re.compile(rf"(?<![\w@.-])({_CAP}) (?:[^\W\d_]\. )?(?:(?i:{_PARTICLE}) +
 _BEFORE = re.compile(rf"(?:(?<![\w@.+-])({_WORD}) +)?(?:(?<![\w@.+-])([^\W\d_])\. ?)?((?:(?<![\w@.+-]){_PARTICLE} +)*)$", re.I)
 _BEHIND = re.compile(rf",\s({_WORD})(?: [^\W\d_]\.(?= {_WORD}|[,;:<(]))?(?![\w@])")
 _BEHIND_INITIAL = re.compile(r", ([^\W\d_]\.)(?!\w)")
+_TOKEN = re.compile(r"(?<![\w@.+-])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w@])")
 _GREETED = re.compile(rf"(?<!\w){_GREETINGS} ({_CAP})(?=[,!.:;\n])")
 
 
@@ -130,10 +131,17 @@ class Dictionary:
         return all(s or _key(p) in self.family for s, p in zip(strong, parts)), any(strong)
 
     @cached_property
-    def candidates(self) -> re.Pattern:
-        words = "|".join(sorted(map(re.escape, self.family), key=len, reverse=True))
-        both = "|".join(x for x in (self.built.pattern if self.built else "", words) if x)
-        return re.compile(rf"(?<![\w@.+-])(?:{_WORD}-)?(?:{both or '(?!)'})(?:-{_WORD})?(?![\w@])", re.I)
+    def _seen(self) -> dict[str, tuple[bool, bool]]:
+        return {}
+
+    def known(self, word: str) -> tuple[bool, bool]:
+        """``is_family``, remembered for the words seen last, since texts repeat their words."""
+        out = self._seen.get(word)
+        if out is None:
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            out = self._seen[word] = self.is_family(word)
+        return out
 
 
 def _town_end(text: str, at: int, words: Dictionary) -> int:
@@ -162,11 +170,12 @@ def _known_prefix(phrase: str, words: Dictionary) -> str:
 
 
 def _names(text: str, words: Dictionary) -> Iterator[tuple[int, int]]:
-    for m in words.candidates.finditer(text):
-        word, start, end = m[0], m.start(), m.end()
-        family, strong = words.is_family(word)
+    for m in _TOKEN.finditer(text):
+        word = m[0]
+        family, strong = words.known(word)
         if not family:
             continue
+        start, end = m.span()
         left = _BEFORE.search(text, max(0, start - 60), start)
         given, initial, particle = left[1] or "", left[2] or "", left.start(3) if left[3] else None
         if given and not initial and particle is None and _key(given) in _PARTICLES:
