@@ -3,11 +3,13 @@
 1. Every line is brought to a shape: typed tokens (times, levels, dotted or slashed names, words
    with digits) become one character each, everything else stays. Equal shapes are counted before
    anything is shuffled.
-2. Bigrams and trigrams of the shapes' tokens are counted over all lines. A token that its
-   neighbours predict is constant, else it is variable; shapes with variables masked are templates.
-3. The head of a template, its typed and constant part before free text, is a program's header
-   if its first tokens are a frequent n-gram. Its tokens receive roles by type: time, level and
-   component.
+2. For ``templates`` bigrams and trigrams of the shapes' tokens are counted over all lines. A token
+   that its neighbours predict is constant, else it is variable; shapes with variables masked are
+   templates. Entries don't need them.
+3. The head of a shape is its typed part before free text. It is a program's header if it begins
+   with a time, or has a time behind other typed tokens and holds level and component, or if what
+   follows it varies. Its tokens receive roles by type: time, level and component; a plain word
+   before the time is the component if no other is.
 4. Lines with such a head begin an entry, the lines after it in the stream belong to it.
 
 Defined results: text that is no JSON, a null, an empty or a non-string message is no line; a
@@ -28,6 +30,8 @@ from .skew import PIECE, null_safe, piece_offsets, with_offset
 TIME, GTIME, LEVEL, NAME, WORD, HOST, PROGRAM, TEXT = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"
 #: Share of what follows its two neighbours from which a token counts as constant.
 CONSTANT = 0.01
+#: Different words that must follow a head that is told by nothing else, whatever the input's size.
+VARIED = 3
 #: Share of all lines from which the start of a head counts as a layout and not as chance.
 LAYOUT = 1e-5
 
@@ -81,6 +85,19 @@ def _bare(line: Column) -> Column:
     return F.when(structured, F.regexp_replace(short, rf"(?<=[:=]){_QUOTED}", TEXT)).otherwise(line)
 
 
+# A head that doesn't begin with its time: typed tokens, marks and words that a mark ends. What is
+# indented or quoted is no program's own header.
+_MARKS = rf"[{LEVEL}{NAME}{WORD}\[\](){{}}<>|:;,.#/* -]"
+_PLAIN = r"[A-Za-z_](?:[\w-]*+)"
+_LED = rf"^(?![\s>])(?:{_MARKS}|{_PLAIN}(?=[\]\[:|/)>])){{1,24}}?{TIME}[^A-Za-z\u00c0-\u024f\u00ab\"'{{]*"
+_FREE = rf"^(?:<{WORD}>)?(?:{WORD} )?\[?(?:{TIME}|{GTIME})[^A-Za-z\u00c0-\u024f\u00ab\"'{{]*"
+_KEYED = rf'^(?:\{{"[^{TIME}{TEXT}]*:{TIME}.*\}}$|[A-Za-z_]\w*=[^{TEXT}]*?{TIME}.*$)'
+
+
+def _keyed(shape: Column) -> Column:
+    return shape.rlike(_KEYED) & shape.rlike(r'^(?:\{"|[A-Za-z_])')
+
+
 def with_shapes(lines: DataFrame) -> DataFrame:
     """Adds to ``line``: its shape, the shape's head and the first text of each type."""
     bare = lines.withColumn("line", without_colour(F.regexp_replace("line", "\r$", ""))).withColumn("bare", _bare(F.col("line")))
@@ -94,23 +111,30 @@ def with_shapes(lines: DataFrame) -> DataFrame:
     shaped = bare.withColumn("shape", x).withColumn(
         "shape", F.when(F.col("shape").rlike(syslog), F.regexp_replace("shape", syslog, f"$1$2{HOST} {PROGRAM}")).otherwise(F.col("shape"))
     )
-    free = rf"^(?:<{WORD}>)?(?:{WORD} )?\[?(?:{TIME}|{GTIME})[^A-Za-z\u00c0-\u024f\u00ab\"'{{]*"
-    keyed = rf'^(?:\{{"[^{TIME}{TEXT}]*:{TIME}.*\}}$|[A-Za-z_]\w*=[^{TEXT}]*?{TIME}.*$)'
-    head = F.when(F.col("shape").rlike(keyed) & F.col("shape").rlike(r'^(?:\{"|[A-Za-z_])'), F.col("shape")).otherwise(F.regexp_extract("shape", free, 0))
+    free, led = F.regexp_extract("shape", _FREE, 0), F.regexp_extract("shape", _LED, 0)
+    led = F.when(led.contains(LEVEL) | led.contains(NAME) & ~led.rlike("[A-Za-z]"), led).otherwise("")
+    head = F.when(_keyed(F.col("shape")), F.col("shape")).when(free != "", free).otherwise(led)
     return shaped.withColumn("head", head)
 
 
+def _begins(head: Column) -> Column:
+    """Whether a head begins with its time, or is a line of keys and values."""
+    return _keyed(head) | head.rlike(_FREE)
+
+
 def with_fields(shaped: DataFrame) -> DataFrame:
     """Texts of the roles: the first time, level and name; for syslog the program and priority."""
     has = lambda c: F.col("head").contains(c)
     pick = lambda when, pattern, group=0: F.when(when, F.regexp_extract("bare", pattern, group))
     stamp = pick(has(GTIME), _GTIME).otherwise(pick(has(TIME), _TIME))
     program = pick(has(PROGRAM), rf"{_TIME} \S+ ([^\s\[]+)", 1)
+    # a word before the time, by the head's own word, since the line may hold others
+    led = F.when(~_begins(F.col("head")), F.nullif(F.regexp_extract("head", r"[A-Za-z_][\w-]*", 0), F.lit("")))
     return shaped.withColumns(
         {
             "time_text": stamp,
             "level_text": F.when(has(GTIME), F.substring("bare", 1, 1)).when(F.col("head").startswith("<"), F.regexp_extract("bare", r"^<(\d+)>", 1)).otherwise(pick(has(LEVEL), _LEVEL)),
-            "name_text": F.coalesce(program, pick(has(NAME), _NAME)),
+            "name_text": F.coalesce(program, pick(has(NAME), _NAME), led),
         }
     )
 
@@ -154,11 +178,17 @@ def templates(shapes: DataFrame) -> DataFrame:
 
 
 def layouts(shapes: DataFrame) -> DataFrame:
-    """Heads that are a program's header: their first three tokens are frequent over all lines."""
+    """Heads that are a program's header: by their typed tokens, else by what follows them.
+
+    Those that begin with a time need a frequent start over all lines.
+    """
     lines = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
     heads = shapes.where("head <> ''").withColumn("gram", F.array_join(F.slice(tokens(F.col("shape")), 1, 3), " "))
-    found = heads.join(ngrams(shapes, 3).withColumnRenamed("n", "n_start"), "gram").groupBy("head").agg(F.sum("n").alias("n_lines"), F.max("n_start").alias("n_start"))
-    return found.where(F.col("n_start") >= F.lit(max(1.0, LAYOUT * lines)))
+    follows = F.nullif(F.regexp_extract(F.expr("substring(shape, length(head) + 1)"), r"[\w\u00c0-\u024f]+", 0), F.lit(""))
+    found = heads.withColumn("follows", follows).join(ngrams(shapes, 3).withColumnRenamed("n", "n_start"), "gram").groupBy("head").agg(F.sum("n").alias("n_lines"), F.max("n_start").alias("n_start"), F.count_distinct("follows").alias("n_follow"))
+    head = F.col("head")
+    typed = head.contains(LEVEL) & head.contains(NAME) & ~head.rlike("[A-Za-z]")
+    return found.where(F.when(_begins(head), F.col("n_start") >= F.lit(max(1.0, LAYOUT * lines))).otherwise(typed | (F.col("n_follow") >= VARIED)))
 
 
 def level_of(text: Column, head: Column) -> Column:
