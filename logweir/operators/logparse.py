@@ -32,8 +32,6 @@ TIME, GTIME, LEVEL, NAME, WORD, HOST, PROGRAM, TEXT = "\ue001", "\ue002", "\ue00
 CONSTANT = 0.01
 #: Different words that must follow a head that is told by nothing else, whatever the input's size.
 VARIED = 3
-#: Share of all lines from which the start of a head counts as a layout and not as chance.
-LAYOUT = 1e-5
 
 # Spellings of levels and the level each one means.
 LEVELS = {
@@ -180,15 +178,13 @@ def templates(shapes: DataFrame) -> DataFrame:
 def layouts(shapes: DataFrame) -> DataFrame:
     """Heads that are a program's header: by their typed tokens, else by what follows them.
 
-    Those that begin with a time need a frequent start over all lines.
+    However rare they are: no head needs a share of the lines.
     """
-    lines = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
-    heads = shapes.where("head <> ''").withColumn("gram", F.array_join(F.slice(tokens(F.col("shape")), 1, 3), " "))
-    follows = F.nullif(F.regexp_extract(F.expr("substring(shape, length(head) + 1)"), r"[\w\u00c0-\u024f]+", 0), F.lit(""))
-    found = heads.withColumn("follows", follows).join(ngrams(shapes, 3).withColumnRenamed("n", "n_start"), "gram").groupBy("head").agg(F.sum("n").alias("n_lines"), F.max("n_start").alias("n_start"), F.count_distinct("follows").alias("n_follow"))
     head = F.col("head")
+    follows = F.nullif(F.regexp_extract(F.expr("substring(shape, length(head) + 1)"), r"[\w\u00c0-\u024f]+", 0), F.lit(""))
+    found = shapes.where("head <> ''").withColumn("follows", follows).groupBy("head").agg(F.sum("n").alias("n_lines"), F.count_distinct("follows").alias("n_follow"))
     typed = head.contains(LEVEL) & head.contains(NAME) & ~head.rlike("[A-Za-z]")
-    return found.where(F.when(_begins(head), F.col("n_start") >= F.lit(max(1.0, LAYOUT * lines))).otherwise(typed | (F.col("n_follow") >= VARIED)))
+    return found.where(_begins(head) | typed | (F.col("n_follow") >= VARIED))
 
 
 def level_of(text: Column, head: Column) -> Column:

@@ -25,3 +25,10 @@ def test_headers_with_time_behind_other_tokens(spark):
     t = MS + 1000
     want = [(t, "ERROR", "a.b", "failed"), *[(t, "WARN", "", f"{w} it") for w in said], *[(t, "INFO", "gate", w) for w in said]]
     assert got == dict(enumerate(want))
+
+
+def test_rare_layout_among_many_lines(spark):
+    # shapes as counted: a program of five lines beside one of two million
+    often, rare = (f"{logparse.TIME} {mark} " for mark in (logparse.LEVEL, f"({logparse.LEVEL}) {logparse.NAME}:"))
+    shapes = spark.createDataFrame([(often + "went", 2_000_000, often), (rare + "came", 5, rare), ("text", 9, "")], "shape string, n bigint, head string")
+    assert {r["head"]: r["n_lines"] for r in logparse.layouts(shapes).collect()} == {often: 2_000_000, rare: 5}
