@@ -266,6 +266,16 @@ def logfmt_parse(spark, sf):
     return rows.select("rec_no", F.col("f")["lvl"].alias("lvl"), F.col("f")["time"].alias("at"))
 
 
+@_query(f"""
+    SELECT rec_no, nullif(regexp_extract(line, '(?:^| )(?:level|lvl)=(\\w+)', 1), '') AS lvl, nullif(trim(regexp_extract(line, '(?:^| )(?:time|ts)=("[^"]+"|\\S+)', 1), '"'), '') AS at
+    FROM (SELECT rec_no, split_part(msg, chr(10), 1) AS line FROM {_LOGS} AS t) AS u WHERE regexp_matches(line, '^[A-Za-z_][\\w.]*=')""")
+def logfmt_lines(spark, sf):
+    """As ``logfmt_parse``, for every line of keys and values, whatever its first key."""
+    line = F.split_part(F.col("msg"), F.lit("\n"), F.lit(1))
+    rows = query.logs(_wal(spark, sf)).withColumn("line", line).where(F.col("line").rlike(r"^[A-Za-z_][\w.]*=")).withColumn("f", archive.logfmt(F.col("line")))
+    return rows.select("rec_no", F.coalesce(F.col("f")["level"], F.col("f")["lvl"]).alias("lvl"), F.coalesce(F.col("f")["time"], F.col("f")["ts"]).alias("at"))
+
+
 # --- trigram index
 
 _HEX = "(SELECT coalesce(stream_id, 0) AS stream_id, doc_id AS document_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL)"

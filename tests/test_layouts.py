@@ -3,7 +3,9 @@
 import json
 from datetime import datetime
 
+from logweir.llm import pii
 from logweir.operators import logparse
+from logweir.plans import core
 
 MS = 1735689600000  # 2025-01-01 00:00:00
 RECORD = "rec_no bigint, stream_id bigint, received_at timestamp, d string"
@@ -32,3 +34,9 @@ def test_rare_layout_among_many_lines(spark):
     often, rare = (f"{logparse.TIME} {mark} " for mark in (logparse.LEVEL, f"({logparse.LEVEL}) {logparse.NAME}:"))
     shapes = spark.createDataFrame([(often + "went", 2_000_000, often), (rare + "came", 5, rare), ("text", 9, "")], "shape string, n bigint, head string")
     assert {r["head"]: r["n_lines"] for r in logparse.layouts(shapes).collect()} == {often: 2_000_000, rare: 5}
+
+
+def test_logfmt_of_every_first_key(spark, sf):
+    got = core.QUERIES["logfmt_lines"](spark, sf).collect()
+    assert {r["rec_no"] for r in got} > {r["rec_no"] for r in core.QUERIES["logfmt_parse"](spark, sf).collect()}
+    assert all(r["lvl"] and r["at"] for r in got)
