@@ -3,8 +3,8 @@
 Numbers are found by format and validated; addresses by street, unit, postal code and town; names
 by a dictionary that completes the given staff list from the corpus: parts that many listed family
 names share, given names that precede families, families that follow given names, and towns that
-stand beside postal codes. The dictionary's entries each make up at least MIN_SHARE of the
-mentions of their kind, so it has at most 1 / MIN_SHARE entries of a kind, whatever the corpus.
+stand beside postal codes. Entries follow from such evidence alone and need no share of the corpus;
+they are a table of any size, which the words of each text are joined with by key.
 
 Replacement keeps format: digits and letters of a number are permuted within their format by a
 keyed Feistel network, so equal values get equal pseudonyms in every document and different
@@ -21,7 +21,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Kinds in order of precedence where finds overlap.
 KINDS = ["email", "idnum", "phone", "address", "name"]
-#: Least share of the mentions of its kind that makes a learned dictionary entry.
-MIN_SHARE = 1e-4
 
 # Words of street names, units, greetings, name particles, and what is no person's.
 _EN_STREET = r"(?:Lane|Ln\.?|Street|St|Road|Rd|Drive|Dr|Court|Ct|Avenue|Ave\.|Ave|Row|Way|Close|Hill|Mews|Terrace|Place|Square|Crescent|Boulevard|Blvd\.?|Grove|Walk|Yard|Alley|Parkway|Highway)"
@@ -84,6 +84,7 @@ _BEFORE = re.compile(rf"(?:(?<![\w@.+-])({_WORD}) +)?(?:(?<![\w@.+-])([^\W\d_])\
 _BEHIND = re.compile(rf",\s({_WORD})(?: [^\W\d_]\.(?= {_WORD}|[,;:<(]))?(?![\w@])")
 _BEHIND_INITIAL = re.compile(r", ([^\W\d_]\.)(?!\w)")
 _TOKEN = re.compile(r"(?<![\w@.+-])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w@])")
+_RUN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _GREETED = re.compile(rf"(?<!\w){_GREETINGS} ({_CAP})(?=[,!.:;\n])")
 
 
@@ -320,58 +321,125 @@ def _evidence(base: Dictionary, column: str):
     return run
 
 
-def learned(documents: DataFrame, parts: DataFrame, column: str = "text") -> Dictionary:
-    """The staff list, completed from all documents.
+def entries(documents: DataFrame, parts: DataFrame, column: str = "text") -> tuple[Dictionary, DataFrame]:
+    """The staff list, and what completes it from all documents as a table (role, word).
 
     A given name precedes three families or more, in at least half of the places where it
-    precedes a capitalised word; a family follows three such given names or more. What
-    follows a postal code is a town as far as it goes on in half of the cases.
+    precedes a capitalised word; a family follows three such given names or more, in at least
+    half of the places where it follows a capitalised word. What follows a postal code is a town
+    as far as it goes on in half of the cases.
     """
     listed = [(r["name_part"], r["part_kind"]) for r in parts.where("name_part is not null").select("name_part", "part_kind").collect()]
     base = Dictionary({_key(n) for n, k in listed if k == "given"}, {_key(n) for n, k in listed if k == "family"})
     base.stems, base.ends = name_stems(sorted(base.family))
-    seen = documents.select(column).mapInArrow(_evidence(base, column), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).cache()
+    found = documents.select(column).mapInArrow(_evidence(base, column), "kind string, a string, b string, n bigint")
+    seen = written(found.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "evidence")
     pairs = seen.where("kind = 'pair'")
     first = F.split_part(F.col("b"), F.lit("-"), F.lit(1))
     families = F.col("b").isin(*sorted(base.family)) | first.rlike(f"^{base.built.pattern}$" if base.built else "^$")
     named = pairs.groupBy("a").agg(F.countDistinct(F.when(families, first)).alias("kinds"), F.sum(F.when(families, F.col("n")).otherwise(0)).alias("named"), F.sum("n").alias("n"))
-    total = named.agg(F.sum("named")).collect()[0][0] or 0
-    least = max(1, MIN_SHARE * total)
-    base.given |= {r["a"] for r in named.where((F.col("kinds") >= 3) & (F.col("named") * 2 >= F.col("n")) & (F.col("named") >= least)).select("a").collect() if r["a"] not in _PARTICLES}
-    follow = pairs.where(F.col("a").isin(*sorted(base.given)) & ~F.col("b").isin(*sorted(base.given)) & ~F.col("b").contains("-"))
-    more = follow.groupBy("b").agg(F.countDistinct("a").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= 3) & (F.col("n") >= least))
-    base.family |= {r["b"] for r in more.select("b").collect() if r["b"] not in _PARTICLES}
-    towns = seen.where("kind = 'town'").groupBy("a").agg(F.sum("n").alias("n"), F.first("b").alias("b"))
-    places = towns.where(~F.col("a").contains(" ")).agg(F.sum("n")).collect()[0][0] or 0
-    often = {r["a"]: (r["n"], r["b"]) for r in towns.where(F.col("n") >= max(1, MIN_SHARE * places)).collect()}
-    good = {t for t, (n, b) in often.items() if not b or b not in often or 2 * n >= often[b][0]}
-    heads = lambda t: [" ".join(t.split(" ")[:k]) for k in range(1, t.count(" ") + 1)]
-    base.towns = {t for t in good if not any(h in often and often[h][0] >= 10 * often[t][0] for h in heads(t))}
-    base.towns = {t for t in base.towns if not any(u != t and u.startswith(t + " ") and 2 * often[u][0] >= often[t][0] for u in base.towns)}
-    seen.unpersist()
-    return base
-
-
-def occurrences(documents: DataFrame, words: Dictionary, ident: str = "doc_id", column: str = "text") -> DataFrame:
-    """(ident, pii_kind, start_pos, end_pos): each occurrence in each text."""
+    given = written(named.where((F.col("kinds") >= 3) & (F.col("named") * 2 >= F.col("n")) & ~F.col("a").isin(*_PARTICLES)).select(F.col("a").alias("word")), "given")
+    listed_given = lambda c: F.col(c).isin(*sorted(base.given))
+    after = pairs.where(~listed_given("b") & ~F.col("b").contains("-")).join(given.select(F.col("word").alias("a"), F.lit(True).alias("is_given")), "a", "left")
+    by_given = F.coalesce("is_given", F.lit(False)) | listed_given("a")
+    follow = after.join(given.withColumnRenamed("word", "b"), "b", "left_anti").groupBy("b").agg(F.countDistinct(F.when(by_given, F.col("a"))).alias("kinds"), F.sum(F.when(by_given, F.col("n")).otherwise(0)).alias("named"), F.sum("n").alias("n"))
+    family = follow.where((F.col("kinds") >= 3) & (F.col("named") * 2 >= F.col("n")) & ~F.col("b").isin(*_PARTICLES)).select(F.col("b").alias("word"))
+    roles = [given.select(F.lit("given").alias("role"), "word"), family.select(F.lit("family"), "word"), _towns(seen.where("kind = 'town'")).select(F.lit("town"), "word")]
+    return base, written(roles[0].unionAll(roles[1]).unionAll(roles[2]), "entries")
+
+
+def _towns(seen: DataFrame) -> DataFrame:
+    """(word): phrases beside postal codes that are a town, by comparing each with its beginnings."""
+    often = written(seen.groupBy("a").agg(F.sum("n").alias("n"), F.max("b").alias("b")), "phrases")
+    longer = often.join(often.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b", "left")
+    good = longer.where((F.col("b") == "") | F.col("n_b").isNull() | (2 * F.col("n") >= F.col("n_b"))).select("a", "n")
+    heads = F.expr("transform(sequence(1, size(split(a, ' ')) - 1), k -> substring_index(a, ' ', k))")
+    starts = lambda df: df.where(F.col("a").contains(" ")).select(F.col("a").alias("long"), F.col("n").alias("n_long"), F.explode(heads).alias("a"))
+    common = starts(good).join(often.select("a", "n"), "a").where(F.col("n") >= 10 * F.col("n_long")).select(F.col("long").alias("a"))
+    towns = written(good.join(common, "a", "left_anti"), "towns")
+    carried = starts(towns).join(towns, "a").where(2 * F.col("n_long") >= F.col("n")).select("a")
+    return towns.join(carried, "a", "left_anti").select(F.col("a").alias("word"))
+
+
+def learned(documents: DataFrame, parts: DataFrame, column: str = "text") -> Dictionary:
+    """The staff list with all ``entries``, gathered; for few."""
+    base, more = entries(documents, parts, column)
+    return _completed(base, [(r["role"], r["word"]) for r in more.collect()])
+
+
+def _completed(base: Dictionary, more: Iterable[tuple[str, str]]) -> Dictionary:
+    sets = {"given": set(), "family": set(), "town": set()}
+    for role, word in more:
+        sets[role].add(word)
+    out = Dictionary(base.given | sets["given"], base.family | sets["family"], base.stems, base.ends, base.towns | sets["town"])
+    out.__dict__["built"] = base.built
+    return out
+
+
+def _asked(text: str, most: int) -> set[str]:
+    """All words that ``find`` may look up in a text; ``most``: parts of the longest entry."""
+    out = set()
+    for run in set(_RUN.findall(text)):
+        at = [0, *(m.end() for m in re.finditer(r"['’-]", run))]
+        end = [*(i - 1 for i in at[1:]), len(run)]
+        out.update(_key(run[i:j]) for k, i in enumerate(at) for j in end[k : k + most])
+    for m in _STREET.finditer(text):
+        for pattern, group in ((_AFTER_CODE, 2), (_BEFORE_CODE, 1), (_BARE_TOWN, 1)):
+            if n := pattern.match(text, m.end()):
+                words = n[group].split(" ")
+                out.update(_key(" ".join(words[:k])) for k in range(1, len(words) + 1))
+    return out
+
+
+def with_entries(documents: DataFrame, more: DataFrame, column: str = "text") -> DataFrame:
+    """Adds ``entries``: those of the learned ones that a text's words may need, joined by key."""
+    most = more.agg(F.max(F.size(F.split("word", "['’-]")))).collect()[0][0] or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, text in zip(batch.column("_text").to_pylist(), batch.column(column).to_pylist()):
+                words = list(_asked(text, most))
+                if words:
+                    yield pa.RecordBatch.from_arrays([pa.array([ident] * len(words), pa.string()), pa.array(words, pa.string())], names=["_text", "word"])
+
+    marked = documents.withColumn("_text", F.sha2(column, 256))
+    asked = marked.where(F.length(column) > 0).select("_text", column).mapInArrow(run, "_text string, word string")
+    known = asked.join(more, "word").groupBy("_text").agg(F.collect_set(F.struct("role", "word")).alias("entries"))
+    return marked.join(known, "_text", "left").drop("_text")
+
+
+def _searched(batch: pa.RecordBatch, words: Dictionary, column: str) -> list[list[tuple[str, int, int]]]:
+    """Finds in each text of a batch, with the learned entries of its texts if they are joined."""
+    if "entries" in batch.schema.names:
+        words = _completed(words, {(e["role"], e["word"]) for row in batch.column("entries").to_pylist() for e in row or ()})
+    return [find(text, words) for text in batch.column(column).to_pylist()]
+
+
+def _columns(documents: DataFrame, ident: str, column: str, more: DataFrame | None) -> DataFrame:
+    read = documents.select(F.col(ident).cast("long"), column)
+    return read if more is None else with_entries(read, more, column)
+
+
+def occurrences(documents: DataFrame, words: Dictionary, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """(ident, pii_kind, start_pos, end_pos): each occurrence in each text. ``more``: learned entries as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *s) for i, text in zip(batch.column(ident).to_pylist(), batch.column(column).to_pylist()) for s in find(text, words)]
+            rows = [(i, *s) for i, spans in zip(batch.column(ident).to_pylist(), _searched(batch, words, column)) for s in spans]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[ident, "pii_kind", "start_pos", "end_pos"])
 
-    return documents.select(F.col(ident).cast("long"), column).mapInArrow(run, f"{ident} bigint, pii_kind string, start_pos bigint, end_pos bigint")
+    return _columns(documents, ident, column, more).mapInArrow(run, f"{ident} bigint, pii_kind string, start_pos bigint, end_pos bigint")
 
 
-def redacted(documents: DataFrame, words: Dictionary, key: bytes, ident: str = "doc_id", column: str = "text") -> DataFrame:
+def redacted(documents: DataFrame, words: Dictionary, key: bytes, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None) -> DataFrame:
     """(ident, text, n_found): the texts with placeholders instead of what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).to_pylist()
-            spans = [find(t, words) for t in texts]
+            spans = _searched(batch, words, column)
             out = [replaced(t, s, key) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int64())], names=[ident, column, "n_found"])
 
-    return documents.select(F.col(ident).cast("long"), column).mapInArrow(run, f"{ident} bigint, {column} string, n_found bigint")
+    return _columns(documents, ident, column, more).mapInArrow(run, f"{ident} bigint, {column} string, n_found bigint")

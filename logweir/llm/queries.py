@@ -50,18 +50,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> pii.Dictionary:
-    return pii.learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+def _words(spark: SparkSession, sf_dir: str) -> tuple[pii.Dictionary, DataFrame]:
+    return pii.entries(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each place of personal information."""
-    return pii.occurrences(table(spark, sf_dir, "documents"), _words(spark, sf_dir))
+    words, more = _words(spark, sf_dir)
+    return pii.occurrences(table(spark, sf_dir, "documents"), words, more=more)
 
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with typed, linked placeholders."""
-    return pii.redacted(table(spark, sf_dir, "documents"), _words(spark, sf_dir), PSEUDONYM_KEY)
+    words, more = _words(spark, sf_dir)
+    return pii.redacted(table(spark, sf_dir, "documents"), words, PSEUDONYM_KEY, more=more)
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
