@@ -3,11 +3,12 @@
 Numbers are found by format and validated; addresses by street, unit, postal code and town; names
 by a dictionary that completes the given staff list from the corpus: parts that many listed family
 names share, given names that precede families, families that follow given names, and towns that
-stand beside postal codes. Entries follow from such evidence alone and need no share of the corpus;
-they are a table of any size, which the words of each text are joined with by key.
+stand beside postal codes. Entries follow from rates of such evidence, so they need no share of the
+corpus, and chance neighbours do not add up as it grows. They are a table of any size: below a count
+it is sent to the workers, beyond it the words of each text are joined with it by key.
 
 Replacement keeps format: digits and letters of a number are permuted within their format by a
-keyed Feistel network, so equal values get equal pseudonyms in every document and different
+keyed Feistel network, birth dates as numbers of days, so equal values get equal pseudonyms in every document and different
 values different ones. Names, addresses and e-mail addresses get a keyed tag instead.
 
 Defined results: null and empty texts have no occurrence and stay as they are; texts of any length
@@ -23,6 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from functools import cached_property
 
 import pyarrow as pa
@@ -46,24 +48,27 @@ _NOT_PERSONS = {"the", "cluster", "gruppo", "gruppe", "group", "project", "proge
 #: Words after which von or da say by whom, and belong to no name.
 _BY = {"gemeldet", "segnalato", "geschrieben", "riscritto", "bearbeitet", "erstellt", "scritto"}
 
+#: Share of a word's places, of all in any text, that must be behind given names if it is a family.
+FAMILY_SHARE = 0.25
+#: Learned entries that are sent to every worker at most; more are joined with the texts by key.
+SENT_ENTRIES = 200_000
+
 _WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:-[^\W\d_]+)*"
 _CAP = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _PARTICLE = "(?:" + "|".join(p.replace(" ", " +") for p in _PARTICLES) + ")"
 
-_EMAIL = re.compile(
-    r"(?<![\w.+%-])[\w.+%-]*\w@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w@])"
-    r"|(?<![\w.+%-])[\w.+%-]*\w ?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|<at>) ?[\w-]+(?: ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}|<dot>|\.) ?[\w-]+)*(?: ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}|<dot>|\.) ?[^\W\d_]{2,})"
-    r"|(?<![\w.+%-])[\w.+%-]*\w at [\w-]+(?: dot [\w-]+)* dot [^\W\d_]{2,}\b",
-    re.I,
-)
-_IDNUM = re.compile(
-    r"(?<![\w.-])(?<!Ticket )(?<!ticket )(?<!TICKET )9\d\d([ -])\d\d\1\d{4}(?![\w-])"
-    r"|(?<![\w-])[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?![\w-])"
-    r"|(?<![\w-])[A-Z]{6}[\dL-NP-V]{2}[A-EHLMPRST][\dL-NP-V]{2}[A-Z][\dL-NP-V]{3}[A-Z](?![\w-])",
-    re.I,
-)
+_DOT = r"(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}|<dot>|\.)"
+# What follows the local part of an e-mail address; the local part is read back from there.
+_EMAIL_DOMAIN = re.compile(r"@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w@])")
+_EMAIL_SPELT = re.compile(rf"(?:\[ ?at ?\]|\( ?at ?\)|\{{ ?at ?\}}|<at>) ?[\w-]+(?: ?{_DOT} ?[\w-]+)*(?: ?{_DOT} ?[^\W\d_]{{2,}})", re.I)
+_EMAIL_SAID = re.compile(r" at [\w-]+(?: dot [\w-]+)* dot [^\W\d_]{2,}\b", re.I)
+# Identity numbers from a character that is quick to look for; what stands before is tested behind.
+_ID_DIGITS = re.compile(r"9\d\d([ -])\d\d\1\d{4}(?![\w-])")
+_ID_LETTERS = re.compile(r"\d\d ?\d\d ?\d\d ?[A-Da-d](?![\w-])")
+_ID_PREFIX = re.compile(r"(?<![\w-])[A-Za-z]{2} ?$")
+_ID_CODE = re.compile(r"\b[A-Z]{6}[\dL-NP-V]{2}[A-EHLMPRST][\dL-NP-V]{2}[A-Z][\dL-NP-V]{3}[A-Z](?![\w-])", re.I)
 _PHONE = re.compile(
-    r"(?<![\w+./-])(?:\+\d{1,4}(?:[ .]?\(0\))?(?:[ ./-]?\d{1,6}){2,6}"
+    r"(?=[+(02-9])(?<![\w+./-])(?:\+\d{1,4}(?:[ .]?\(0\))?(?:[ ./-]?\d{1,6}){2,6}"
     r"|\+\d{1,4}[ .-]?\(\d{1,5}\)(?:[ ./-]?\d{2,6}){1,4}"
     r"|(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}"
     r"|[2-9]\d\d[2-9]\d{6}"
@@ -74,18 +79,19 @@ _PHONE = re.compile(
 _EN = rf"(?<![\w.-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}{_EN_STREET}(?!\w){_UNIT}"
 _IT = rf"\b{_IT_STREET}(?: (?:dei|degli|delle|della|dello|del|dell['’]|di|da|la|{_CAP})){{1,4}},? (?:n\.? ?|n° ?)?\d{{1,4}}(?:/?[A-Za-z]\b)?{_UNIT}"
 _DE = rf"(?<![\w-])(?:{_DE_FIRST}[A-ZÄÖÜ][\wäöüß-]*{_DE_STREET}|[A-ZÄÖÜ][\wäöüß-]+ (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)|(?:Am|Im|An der|An den|Auf der|Auf dem|In der|Zum|Zur|Hinter der|Unter den) [A-ZÄÖÜ][\wäöüß-]+) \d{{1,4}}(?: ?[a-z]\b)?{_UNIT}"
-_STREET = re.compile(rf"(?P<en>{_EN})|(?P<it>{_IT})|(?P<de>{_DE})")
+# Each by itself behind a look at its first character, which is quicker than one pattern of all.
+_STREETS = [re.compile(rf"(?=\d){_EN}"), re.compile(rf"(?=[VPLCSB]){_IT}"), re.compile(rf"(?=[A-ZÄÖÜ]){_DE}")]
 _TOWN = rf"{_CAP}(?: (?:am|an der|im|in|sul|sur|on|upon|bei|ob der|le|la|di|del|de|{_CAP})){{0,3}}"
 _AFTER_CODE = re.compile(rf"(?:, ?|,?\n)(\d{{4,5}}) ({_TOWN})")
 _BEFORE_CODE = re.compile(rf"(?:, ?|,?\n)({_TOWN}) (\d{{5}})(?!\w|[.-]\d)")
 _BARE_TOWN = re.compile(rf"(?:, ?|,?\n)({_TOWN})")
 _PAIR = re.compile(rf"(?<![\w@.-])({_CAP}) (?:[^\W\d_]\. )?(?:(?i:{_PARTICLE}) +)*({_CAP})(?![\w@])")
-_BEFORE = re.compile(rf"(?:(?<![\w@.+-])({_WORD}) +)?(?:(?<![\w@.+-])([^\W\d_])\. ?)?((?:(?<![\w@.+-]){_PARTICLE} +)*)$", re.I)
 _BEHIND = re.compile(rf",\s({_WORD})(?: [^\W\d_]\.(?= {_WORD}|[,;:<(]))?(?![\w@])")
 _BEHIND_INITIAL = re.compile(r", ([^\W\d_]\.)(?!\w)")
+_WHOLE = re.compile(r"(?<![\w@.+=/-])[^\W\d_]+(?![\w@/=-])")
 _TOKEN = re.compile(r"(?<![\w@.+-])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w@])")
 _RUN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_GREETED = re.compile(rf"(?<!\w){_GREETINGS} ({_CAP})(?=[,!.:;\n])")
+_GREETED = re.compile(rf"(?=[HDLGMCBS])(?<!\w){_GREETINGS} ({_CAP})(?=[,!.:;\n])")
 
 
 def _key(word: str) -> str:
@@ -132,19 +138,28 @@ class Dictionary:
         return all(s or _key(p) in self.family for s, p in zip(strong, parts)), any(strong)
 
     @cached_property
-    def _seen(self) -> dict[str, tuple[bool, bool]]:
+    def seen(self) -> dict[str, tuple[bool, bool]]:
         return {}
 
     def known(self, word: str) -> tuple[bool, bool]:
         """``is_family``, remembered for the words seen last, since texts repeat their words."""
-        out = self._seen.get(word)
+        out = self.seen.get(word)
         if out is None:
-            if len(self._seen) > 100_000:
-                self._seen.clear()
-            out = self._seen[word] = self.is_family(word)
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            out = self.seen[word] = self.is_family(word)
         return out
 
 
+def _streets(text: str) -> Iterator[re.Match]:
+    """Street and number in any of the known forms, from left to right, none overlapping another."""
+    last = 0
+    for m in sorted((m for p in _STREETS for m in p.finditer(text)), key=lambda m: m.start()):
+        if m.start() >= last:
+            last = m.end()
+            yield m
+
+
 def _town_end(text: str, at: int, words: Dictionary) -> int:
     """End of the postal code and town that follow an address' street, or ``at``."""
     if m := _AFTER_CODE.match(text, at):
@@ -170,30 +185,83 @@ def _known_prefix(phrase: str, words: Dictionary) -> str:
     return ""
 
 
+def _word_char(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
+def _word_before(text: str, at: int, gap: int | None = None) -> str:
+    """The word that stands before a place, after at most ``gap`` other characters; '' if none."""
+    end = at
+    while end > 0 and not _word_char(text[end - 1]):
+        end -= 1
+    if gap is not None and at - end > gap:
+        return ""
+    start = end
+    while start > 0 and (text[start - 1].isalpha() or text[start - 1] in "'’-"):
+        start -= 1
+    return text[start:end].lstrip("'’-")
+
+
+def _ended(text: str, end: int, letters: str = "") -> int | None:
+    """Where the word that ends at ``end`` begins, if it is letters standing by themselves."""
+    start = end
+    while start > 0 and (text[start - 1].isalpha() or text[start - 1] in letters):
+        start -= 1
+    while start < end and text[start] in letters:
+        start += 1
+    return start if start < end and not (start and (_word_char(text[start - 1]) or text[start - 1] in "@.+-")) else None
+
+
+def _spaces_before(text: str, at: int) -> int:
+    while at > 0 and text[at - 1] == " ":
+        at -= 1
+    return at
+
+
+def _left(text: str, start: int) -> tuple[int | None, int | None, int | None]:
+    """Starts of the given name, initial and particles that stand before a family name."""
+    at, particle = start, None
+    while (end := _spaces_before(text, at)) < at and (word := _ended(text, end)) is not None:
+        one = text[word:end].lower()
+        gap = _spaces_before(text, word)
+        first = _ended(text, gap) if gap < word else None
+        if first is not None and f"{text[first:gap].lower()} {one}" in _PARTICLES:
+            at = particle = first
+        elif one in _PARTICLES:
+            at = particle = word
+        else:
+            break
+    initial = None
+    dot = at - 1 if at > 0 and text[at - 1] == " " else at
+    if dot > 1 and text[dot - 1] == "." and text[dot - 2].isalpha() and _ended(text, dot - 1) == dot - 2:
+        at = initial = dot - 2
+    end = _spaces_before(text, at)
+    given = _ended(text, end, "'’-") if end < at else None
+    return given, initial, particle
+
+
 def _names(text: str, words: Dictionary) -> Iterator[tuple[int, int]]:
+    seen, known = words.seen, words.known
     for m in _TOKEN.finditer(text):
         word = m[0]
-        family, strong = words.known(word)
+        family, strong = seen.get(word) or known(word)
         if not family:
             continue
         start, end = m.span()
-        left = _BEFORE.search(text, max(0, start - 60), start)
-        given, initial, particle = left[1] or "", left[2] or "", left.start(3) if left[3] else None
-        if given and not initial and particle is None and _key(given) in _PARTICLES:
-            given, particle = "", left.start(1)
+        first, initial, particle = _left(text, start)
+        given = text[first : _spaces_before(text, start if initial is None and particle is None else initial if initial is not None else particle)] if first is not None else ""
         lower = word == word.lower()
-        before = lambda at: _key((re.search(rf"({_WORD})\W*$", text[max(0, at - 30) : at]) or [0, ""])[1])
         behind = (m for m in [_BEHIND.match(text, end)] if m and _key(m[1]) in words.given and (lower or m[1] != m[1].lower()))
         if _key(given) in words.given and (lower or given != given.lower()):
-            if not strong and before(left.start(1)) in _NOT_PERSONS:
+            if not strong and _key(_word_before(text, first)) in _NOT_PERSONS:
                 continue
-            start = left.start(1)
-        elif initial and (strong or initial.isupper()):
-            start = left.start(2)
+            start = first
+        elif initial is not None and (strong or text[initial].isupper()):
+            start = initial
         elif (found := next(behind, None)) or strong and not lower:
             if particle is not None:
                 said = text[particle:start].strip().lower()
-                if said != "da" and not (said == "von" and before(particle) in _BY):
+                if said != "da" and not (said == "von" and _key(_word_before(text, particle)) in _BY):
                     start = particle
             if found:
                 end = found.end()
@@ -207,6 +275,37 @@ def _names(text: str, words: Dictionary) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Addresses by what follows their local part, which is a run of its characters read back."""
+    ends: list[tuple[int, int]] = []
+    if "@" in text:
+        ends += [m.span() for m in _EMAIL_DOMAIN.finditer(text)]
+    ends += [(m.start() - (m.start() > 0 and text[m.start() - 1] == " "), m.end()) for m in _EMAIL_SPELT.finditer(text)]
+    if " dot " in text.lower():
+        ends += [m.span() for m in _EMAIL_SAID.finditer(text)]
+    out = []
+    for at, end in sorted(ends):
+        start = at
+        while start > 0 and (_word_char(text[start - 1]) or text[start - 1] in ".+%-"):
+            start -= 1
+        if start < at and _word_char(text[at - 1]):
+            out.append((start, end))
+    return out
+
+
+def _idnums(text: str) -> Iterator[tuple[int, int]]:
+    for m in _ID_DIGITS.finditer(text):
+        before = text[max(0, m.start() - 7) : m.start()].lower()
+        if not (before and (_word_char(before[-1]) or before[-1] in ".-")) and before != "ticket ":
+            yield m.span()
+    for m in _ID_LETTERS.finditer(text):
+        if n := _ID_PREFIX.search(text, max(0, m.start() - 4), m.start()):
+            yield n.start(), m.end()
+    for m in _ID_CODE.finditer(text):
+        if m.start() == 0 or text[m.start() - 1] != "-":
+            yield m.span()
+
+
 def find(text: str | None, words: Dictionary) -> list[tuple[str, int, int]]:
     """Occurrences (kind, start, end) in order of position, none overlapping another."""
     if not text:
@@ -219,14 +318,14 @@ def find(text: str | None, words: Dictionary) -> list[tuple[str, int, int]]:
             taken[start:end] = b"\1" * (end - start)
             spans.append((kind, start, end))
 
-    for m in _EMAIL.finditer(text):
-        add("email", *m.span())
-    for m in _IDNUM.finditer(text):
-        add("idnum", *m.span())
+    for start, end in _emails(text):
+        add("email", start, end)
+    for start, end in _idnums(text):
+        add("idnum", start, end)
     for m in _PHONE.finditer(text):
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
             add("phone", *m.span())
-    for m in _STREET.finditer(text):
+    for m in _streets(text):
         add("address", m.start(), _town_end(text, m.end(), words))
     for start, end in _names(text, words):
         add("name", start, end)
@@ -274,12 +373,48 @@ def _country_digits(phone: str) -> int:
     return len(m[1]) if m else 0
 
 
+# First day, number of days and forms of the dates that are permuted.
+_FIRST_DAY, _DAYS = date(1900, 1, 1), 73_049
+_DATE = r"\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4}"
+_BORN = re.compile(rf"\b(?:born|date of birth|DOB|geboren|Geburtsdatum|nato|nata|data di nascita)(?: on| am| il)?[ :=]{{1,3}}({_DATE})(?!\w)", re.I)
+
+
+def birth_dates(text: str) -> list[tuple[str, int, int]]:
+    """Dates that a text says someone was born at; other dates are nobody's."""
+    return [("birthdate", *m.span(1)) for m in _BORN.finditer(text or "")]
+
+
+def permuted_date(value: str, key: bytes) -> str:
+    """A day of 1900 to 2099 as another one in the same form; what is no such day stays.
+
+    The Feistel network permutes six-digit numbers; a number beyond the last day is permuted
+    again until it is one, which makes it a permutation of the days.
+    """
+    marks = [c for c in value if not c.isdigit()]
+    parts = [int(p) for p in re.split(r"\D", value)]
+    try:
+        day = (date(*parts) if marks[0] == "-" else date(*parts[::-1])) - _FIRST_DAY
+    except ValueError:
+        return value
+    n = day.days
+    if not 0 <= n < _DAYS:
+        return value
+    while True:
+        n = int("".join(map(str, _rounds(key, [int(c) for c in f"{n:06d}"], 10, b"day"))))
+        if n < _DAYS:
+            break
+    out = _FIRST_DAY + timedelta(days=n)
+    return out.isoformat() if marks[0] == "-" else marks[0].join([f"{out.day:02d}", f"{out.month:02d}", str(out.year)])
+
+
 def placeholder(kind: str, value: str, key: bytes) -> str:
     """The typed placeholder of a value; the same for the same value in any document."""
+    if kind == "birthdate":
+        return f"[BIRTHDATE {permuted_date(value, key)}]"
     if kind in ("phone", "idnum"):
         return f"[{kind.upper()} {permuted(value, key, _country_digits(value) if kind == 'phone' else 0)}]"
     plain = re.sub(r"\W+", " ", _key(value)).strip()
-    return f"[{kind.upper()} {hashlib.blake2b(plain.encode(), key=key, digest_size=4).hexdigest()}]"
+    return f"[{kind.upper()} {hashlib.blake2b(plain.encode(), key=key, digest_size=16).hexdigest()}]"
 
 
 def replaced(text: str | None, spans: list[tuple[str, int, int]], key: bytes) -> str | None:
@@ -292,26 +427,32 @@ def replaced(text: str | None, spans: list[tuple[str, int, int]], key: bytes) ->
     return "".join(out + [text[at:]])
 
 
-def _evidence(base: Dictionary, column: str):
-    """Per batch: how often words stand in places of names and towns, combined before the shuffle."""
+def _evidence(column: str):
+    """Per batch: how often words stand in places of names and towns, and anywhere, combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
+            whole: Counter = Counter()
             for text in batch.column(column).to_pylist():
                 if not text:
                     continue
+                whole.update(_WHOLE.findall(_key(text)))
                 for m in _PAIR.finditer(text):
-                    before = re.search(rf"({_WORD})\W{{0,2}}$", text[max(0, m.start() - 16) : m.start()])
-                    if not (before and _key(before[1]) in _NOT_PERSONS):
+                    at = m.start()
+                    if at > 2 and text[at - 1].isspace() and text[at - 2] == "," and text[at - 3].isalpha():
+                        continue  # the given name behind "family, given" belongs to what stands before it
+                    if _key(_word_before(text, at, 2)) not in _NOT_PERSONS:
                         seen["pair", _key(m[1]), _key(m[2])] += 1
-                for m in _STREET.finditer(text):
+                for m in _streets(text):
                     if n := _AFTER_CODE.match(text, m.end()):
                         parts = n[2].split(" ")
                         for k in range(1, len(parts) + 1):
                             seen["town", _key(" ".join(parts[:k])), _key(" ".join(parts[: k - 1]))] += 1
                     elif n := _BEFORE_CODE.match(text, m.end()):
                         seen["town", _key(n[1]), ""] += 1
+            for word, n in whole.items():
+                seen["word", word, ""] = n
             if seen:
                 keys = list(seen)
                 yield pa.RecordBatch.from_pydict(
@@ -325,14 +466,17 @@ def entries(documents: DataFrame, parts: DataFrame, column: str = "text") -> tup
     """The staff list, and what completes it from all documents as a table (role, word).
 
     A given name precedes three families or more, in at least half of the places where it
-    precedes a capitalised word; a family follows three such given names or more, in at least
-    half of the places where it follows a capitalised word. What follows a postal code is a town
-    as far as it goes on in half of the cases.
+    precedes a capitalised word. A family follows three such given names or more, and in at least
+    FAMILY_SHARE of all places where the word stands in any text, in whatever case: chance
+    neighbours of given names grow with the corpus, but so do their other places. What follows a
+    postal code is a town as far as it goes on in half of the cases.
+
+    The staff list is gathered: it does not grow with the documents.
     """
     listed = [(r["name_part"], r["part_kind"]) for r in parts.where("name_part is not null").select("name_part", "part_kind").collect()]
     base = Dictionary({_key(n) for n, k in listed if k == "given"}, {_key(n) for n, k in listed if k == "family"})
     base.stems, base.ends = name_stems(sorted(base.family))
-    found = documents.select(column).mapInArrow(_evidence(base, column), "kind string, a string, b string, n bigint")
+    found = documents.select(column).mapInArrow(_evidence(column), "kind string, a string, b string, n bigint")
     seen = written(found.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "evidence")
     pairs = seen.where("kind = 'pair'")
     first = F.split_part(F.col("b"), F.lit("-"), F.lit(1))
@@ -340,10 +484,10 @@ def entries(documents: DataFrame, parts: DataFrame, column: str = "text") -> tup
     named = pairs.groupBy("a").agg(F.countDistinct(F.when(families, first)).alias("kinds"), F.sum(F.when(families, F.col("n")).otherwise(0)).alias("named"), F.sum("n").alias("n"))
     given = written(named.where((F.col("kinds") >= 3) & (F.col("named") * 2 >= F.col("n")) & ~F.col("a").isin(*_PARTICLES)).select(F.col("a").alias("word")), "given")
     listed_given = lambda c: F.col(c).isin(*sorted(base.given))
-    after = pairs.where(~listed_given("b") & ~F.col("b").contains("-")).join(given.select(F.col("word").alias("a"), F.lit(True).alias("is_given")), "a", "left")
-    by_given = F.coalesce("is_given", F.lit(False)) | listed_given("a")
-    follow = after.join(given.withColumnRenamed("word", "b"), "b", "left_anti").groupBy("b").agg(F.countDistinct(F.when(by_given, F.col("a"))).alias("kinds"), F.sum(F.when(by_given, F.col("n")).otherwise(0)).alias("named"), F.sum("n").alias("n"))
-    family = follow.where((F.col("kinds") >= 3) & (F.col("named") * 2 >= F.col("n")) & ~F.col("b").isin(*_PARTICLES)).select(F.col("b").alias("word"))
+    beside = pairs.where(~listed_given("b") & ~F.col("b").contains("-")).join(given.select(F.col("word").alias("a"), F.lit(True).alias("is_given")), "a", "left")
+    follow = beside.where(F.coalesce("is_given", F.lit(False)) | listed_given("a")).join(given.withColumnRenamed("word", "b"), "b", "left_anti").groupBy("b").agg(F.countDistinct("a").alias("kinds"), F.sum("n").alias("named"))
+    often = follow.where((F.col("kinds") >= 3) & ~F.col("b").isin(*_PARTICLES)).join(seen.where("kind = 'word'").select(F.col("a").alias("b"), F.col("n").alias("n_all")), "b")
+    family = often.where(F.col("named") >= FAMILY_SHARE * F.col("n_all")).select(F.col("b").alias("word"))
     roles = [given.select(F.lit("given").alias("role"), "word"), family.select(F.lit("family"), "word"), _towns(seen.where("kind = 'town'")).select(F.lit("town"), "word")]
     return base, written(roles[0].unionAll(roles[1]).unionAll(roles[2]), "entries")
 
@@ -383,7 +527,7 @@ def _asked(text: str, most: int) -> set[str]:
         at = [0, *(m.end() for m in re.finditer(r"['’-]", run))]
         end = [*(i - 1 for i in at[1:]), len(run)]
         out.update(_key(run[i:j]) for k, i in enumerate(at) for j in end[k : k + most])
-    for m in _STREET.finditer(text):
+    for m in _streets(text):
         for pattern, group in ((_AFTER_CODE, 2), (_BEFORE_CODE, 1), (_BARE_TOWN, 1)):
             if n := pattern.match(text, m.end()):
                 words = n[group].split(" ")
@@ -415,13 +559,25 @@ def _searched(batch: pa.RecordBatch, words: Dictionary, column: str) -> list[lis
     return [find(text, words) for text in batch.column(column).to_pylist()]
 
 
-def _columns(documents: DataFrame, ident: str, column: str, more: DataFrame | None) -> DataFrame:
+def _with_dates(text: str | None, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    dates = [d for d in birth_dates(text) if not any(a < d[2] and d[1] < b for _, a, b in spans)]
+    return sorted(spans + dates, key=lambda s: s[1]) if dates else spans
+
+
+def _columns(documents: DataFrame, ident: str, column: str, words: Dictionary, more: DataFrame | None, sent: int) -> tuple[DataFrame, Dictionary]:
+    """What is read of the documents, and the words sent along: few entries are, by their count; more are joined."""
     read = documents.select(F.col(ident).cast("long"), column)
-    return read if more is None else with_entries(read, more, column)
+    if more is None:
+        return read, words
+    few = more.limit(sent + 1).collect()
+    if len(few) <= sent:
+        return read, _completed(words, [(r["role"], r["word"]) for r in few])
+    return with_entries(read, more, column), words
 
 
-def occurrences(documents: DataFrame, words: Dictionary, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None) -> DataFrame:
+def occurrences(documents: DataFrame, words: Dictionary, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None, sent: int = SENT_ENTRIES) -> DataFrame:
     """(ident, pii_kind, start_pos, end_pos): each occurrence in each text. ``more``: learned entries as a table."""
+    read, words = _columns(documents, ident, column, words, more, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,17 +585,18 @@ def occurrences(documents: DataFrame, words: Dictionary, ident: str = "doc_id",
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[ident, "pii_kind", "start_pos", "end_pos"])
 
-    return _columns(documents, ident, column, more).mapInArrow(run, f"{ident} bigint, pii_kind string, start_pos bigint, end_pos bigint")
+    return read.mapInArrow(run, f"{ident} bigint, pii_kind string, start_pos bigint, end_pos bigint")
 
 
-def redacted(documents: DataFrame, words: Dictionary, key: bytes, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None) -> DataFrame:
-    """(ident, text, n_found): the texts with placeholders instead of what was found."""
+def redacted(documents: DataFrame, words: Dictionary, key: bytes, ident: str = "doc_id", column: str = "text", more: DataFrame | None = None, sent: int = SENT_ENTRIES) -> DataFrame:
+    """(ident, text, n_found): the texts with placeholders instead of what was found, and of birth dates."""
+    read, words = _columns(documents, ident, column, words, more, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).to_pylist()
-            spans = _searched(batch, words, column)
+            spans = [_with_dates(t, found) for t, found in zip(texts, _searched(batch, words, column))]
             out = [replaced(t, s, key) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([batch.column(ident), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int64())], names=[ident, column, "n_found"])
 
-    return _columns(documents, ident, column, more).mapInArrow(run, f"{ident} bigint, {column} string, n_found bigint")
+    return read.mapInArrow(run, f"{ident} bigint, {column} string, n_found bigint")

@@ -4,6 +4,7 @@ import random
 import re
 import time
 from collections import Counter
+from datetime import date
 
 import duckdb
 import pytest
@@ -200,6 +201,97 @@ def test_dictionary_is_learned_from_the_corpus(spark):
     assert out[len(texts)] is None and out[len(texts) + 1] == "" and not any("Zora" in (t or "") or "Newtown" in (t or "") for t in out.values())
 
 
+def test_rare_names_among_many_mentions(spark):
+    listed = [f"{s}{e}" for s in ("Brod", "Corv", "Falk", "Lind", "Merk", "Quell") for e in ("aldi", "berg", "ette", "holt", "wick")]
+    often = "; ".join(["by Anna Brodaldi"] * 400)
+    rare = [f"by Zora {f} on call" for f in listed[:3]]
+    docs = spark.createDataFrame([*enumerate(rare), *((10 + i, often) for i in range(100)), (5, None), (None, rare[0])], "doc_id bigint, text string")
+    parts = spark.createDataFrame([(f, "family") for f in listed] + [("Anna", "given")], "name_part string, part_kind string")
+    words, more = pii.entries(docs, parts)
+    assert [tuple(r) for r in more.collect()] == [("given", "zora")] and "zora" not in words.given
+    got = pii.occurrences(docs.where("doc_id < 10 or doc_id is null"), words, more=more).collect()
+    assert sorted((r["doc_id"] or 0, r["start_pos"], r["end_pos"]) for r in got) == sorted((i, 3, 8 + len(f)) for i, f in [*enumerate(listed[:3]), (0, listed[0])])
+    assert not any("Zora" in (r["text"] or "") for r in pii.redacted(docs, words, b"k", more=more).where("doc_id < 10").collect())
+
+def _enlarged(copies: int) -> tuple[list[str], list[tuple[str, int, int, int]]]:
+    """Texts with planted names, and copies of them with other given names; the cases (kind, text number, start, end)."""
+    rng = random.Random(5)
+    given = ["Anna", "Zora", "Petra", "Miles", "Vera", "Mark", "Grant", "Will", "Iris"]
+    plain = ["The Compactor read the log.", "Contact the owner until noon.", "Mark the queue file.", "Grant the lease again.", "Will the retry reach it?", "On Monday the Cluster keeps all.", "The node kelp-24 is up."]
+    texts, cases = [], []
+    for c in range(copies):
+        turned = given[c % len(given) :] + given[: c % len(given)]
+        to = dict(zip(given, turned))
+        for i in range(120):
+            family = rng.choice([*STAFF, "Kelp", "Sable"])
+            name = f"{to[rng.choice(given)]} {family}"
+            parts = [rng.choice(plain) for _ in range(6)]
+            # signed texts, whose given name stands before the next sentence
+            closing = f"{rng.choice(STAFF)}, {to[rng.choice(given)]}"
+            text = f"{parts[0]} {parts[1]} Seen by {name} on call. {parts[2]} {parts[3]} Thanks, {closing}\n{parts[4]} {parts[5]}"
+            for n in (name, closing):
+                cases.append(("name", len(texts), text.index(n), text.index(n) + len(n)))
+            texts.append(text)
+    return texts, cases
+
+
+@pytest.mark.parametrize("copies", [1, 9, 40])
+def test_found_names_stay_right_as_the_corpus_grows(spark, copies):
+    texts, cases = _enlarged(copies)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    parts = spark.createDataFrame([(f, "family") for i, f in enumerate(STAFF) if i not in (1, 7, 13)] + [("Anna", "given"), ("Vera", "given")], "name_part string, part_kind string")
+    words, more = pii.entries(docs, parts)
+    assert {r["word"] for r in more.where("role = 'family'").collect()} - {f.lower() for f in STAFF} == {"kelp", "sable"}
+    got = {(r["pii_kind"], r["doc_id"], r["start_pos"], r["end_pos"]) for r in pii.occurrences(docs, words, more=more).collect()}
+    want = set(cases)
+    assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
+
+
+def test_sent_and_joined_entries_find_the_same(spark, sf):
+    docs, parts = table(spark, sf, "documents"), table(spark, sf, "name_parts")
+    words, more = pii.entries(docs, parts)
+    sent = pii.occurrences(docs, words, more=more)
+    joined = pii.occurrences(docs, words, more=more, sent=0)
+    assert sent.exceptAll(joined).count() == joined.exceptAll(sent).count() == 0 < sent.count()
+
+
+def test_redacted_test_data_keep_the_rest_and_link_values(spark, sf):
+    docs = table(spark, sf, "documents")
+    words, more = pii.entries(docs, table(spark, sf, "name_parts"))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    spans: dict = {}
+    for r in pii.occurrences(docs, words, more=more).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start_pos"], r["end_pos"], r["pii_kind"]))
+    linked: dict = {}
+    for r in pii.redacted(docs, words, b"k", more=more).collect():
+        rest, text = r["text"], texts[r["doc_id"]]
+        assert r["n_found"] == len(spans.get(r["doc_id"], []))
+        at = done = 0
+        for start, end, kind in sorted(spans.get(r["doc_id"], [])):
+            kept = text[done:start]
+            assert rest[at : at + len(kept)] == kept
+            tag = re.match(rf"\[{kind.upper()} [^\]]+\]", rest[at + len(kept) :])[0]
+            plain = re.sub(r"\W+", " ", text[start:end].lower()).strip()
+            if kind in ("name", "address"):
+                assert linked.setdefault((kind, plain), tag) == tag
+            elif kind in ("phone", "idnum"):
+                assert re.sub(r"\w", "w", tag.partition(" ")[2][:-1]) == re.sub(r"\w", "w", text[start:end]) and text[start:end] not in rest
+            at, done = at + len(kept) + len(tag), end
+        assert rest is None or rest[at:] == text[done:]
+    assert len(set(linked.values())) == len(linked) > 50
+
+
+def test_birth_dates_are_permuted_within_their_format():
+    key = b"test"
+    days = [f"19{y:02d}-0{m}-{d:02d}" for y in range(30, 90, 7) for m in range(1, 10) for d in (1, 15, 28)]
+    out = [pii.permuted_date(d, key) for d in days]
+    assert len(set(out)) == len(set(days)) and all(date.fromisoformat(o).year in range(1900, 2100) for o in out)
+    assert pii.permuted_date("7.3.1980", key).count(".") == 2 and pii.permuted_date("31/12/2099", key).count("/") == 2
+    assert pii.permuted_date("1980-13-45", key) == "1980-13-45" and pii.permuted_date("1980-03-07", b"o") != pii.permuted_date("1980-03-07", key)
+    text = "Born on 1980-03-07, seen 2025-01-01; geboren am 07.03.1980; nata il 7/3/1980."
+    assert [text[a:b] for _, a, b in pii.birth_dates(text)] == ["1980-03-07", "07.03.1980", "7/3/1980"]
+
+
 def test_pii_of_the_test_data(spark, sf):
     """No two finds overlap, and what is marked looks like its kind."""
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
