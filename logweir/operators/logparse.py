@@ -3,14 +3,16 @@
 1. Every line is brought to a shape: typed tokens (times, levels, dotted or slashed names, words
    with digits) become one character each, everything else stays. Equal shapes are counted before
    anything is shuffled.
-2. For ``templates`` bigrams and trigrams of the shapes' tokens are counted over all lines. A token
-   that its neighbours predict is constant, else it is variable; shapes with variables masked are
-   templates. Entries don't need them.
-3. The head of a shape is its typed part before free text. It is a program's header if it begins
-   with a time, or has a time behind other typed tokens and holds level and component, or if what
-   follows it varies. Its tokens receive roles by type: time, level and component; a plain word
-   before the time is the component if no other is.
-4. Lines with such a head begin an entry, the lines after it in the stream belong to it.
+2. Bigrams and trigrams of the shapes' tokens are counted over all lines. A token that its
+   neighbours predict is constant, else it is variable; shapes with variables masked are templates.
+3. The head of a shape is its template before free text: typed tokens, marks, and words that the
+   dictionaries tell are constant, up to the first word at which lines branch. It is a program's
+   header if it begins with a time, or has a time behind other tokens and holds level and component,
+   or if what follows it varies. Its tokens receive roles by type: time, level and component; a plain
+   word before the time is the component if no other is.
+4. Heads are layouts, which are few; lines are joined with them by their first token, and the longest
+   head that a line's shape begins with is its own. Such a line begins an entry, the lines after it
+   in the stream belong to it.
 
 Defined results: text that is no JSON, a null, an empty or a non-string message is no line; a
 document without time takes the given fallback for what a header's date lacks; very long lines are
@@ -30,6 +32,9 @@ from .skew import PIECE, null_safe, piece_offsets, with_offset
 TIME, GTIME, LEVEL, NAME, WORD, HOST, PROGRAM, TEXT = "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006", "\ue007", "\ue008"
 #: Share of what follows its two neighbours from which a token counts as constant.
 CONSTANT = 0.01
+#: Share of what stands beside two neighbours from which a plain word belongs to a header, and lines
+#: that must have shown the neighbours: evidence for a word, whatever the input's size.
+FIXED, SEEN = 0.5, 20
 #: Different words that must follow a head that is told by nothing else, whatever the input's size.
 VARIED = 3
 
@@ -56,17 +61,17 @@ _TIMES = [
     r"(?<![\w.-])\d{13}(?![\w.])",
     r"(?<![\w.-])\d{10}\.\d{3,9}(?!\w)",
 ]
-_TIME = "(?:" + "|".join(_TIMES) + ")"
+_TIME = "(?=[0-9A-Z])(?:" + "|".join(_TIMES) + ")"
 _GTIME = r"^[VTDINWEFC]\d{4} \d\d:\d\d:\d\d\.\d+"
 _WORDS = "|".join(sorted({w for ws in LEVELS.values() for w in ws if len(w) > 2}, key=len, reverse=True))
 _LEVEL = (
-    rf"(?<![\w.-])(?i:{_WORDS})(?![\w.-])"
+    rf"(?=[a-zA-Z])(?<![\w.-])(?i:{_WORDS})(?![\w.-])"
     r"|(?<=\|)[VTDINWEFC](?=\|)|(?<=\s)[VTDINWEFC](?=/)|(?<=\()(?:TT|DD|II|NN|WW|EE|FF|CC)(?=\))"
     r'|(?<="(?:level|lvl|severity)":)[1-6]0(?=[,}])'
 )
 # Matches start at a word's start and give nothing back, so that they take linear time on a text
 # without blanks; nothing is repeated but single characters and short parts, which needs no stack.
-_NAME = r"(?<![\w-])[a-z_][\w-]*+(?:[./][a-z_][\w-]*+){1,16}"
+_NAME = r"(?<![\w-])[a-z_][\w-]*+(?:[./][a-z_][\w-]*+)++"
 _WORD = r"(?<![\w*#.-])[[\w*#.-]&&[^\d]]*+\d[\w#.-]*+"
 _QUOTED = r'"[\s\S]*?(?<!(?<!\\)\\)"'
 
@@ -83,21 +88,25 @@ def _bare(line: Column) -> Column:
     return F.when(structured, F.regexp_replace(short, rf"(?<=[:=]){_QUOTED}", TEXT)).otherwise(line)
 
 
-# A head that doesn't begin with its time: typed tokens, marks and words that a mark ends. What is
-# indented or quoted is no program's own header.
-_MARKS = rf"[{LEVEL}{NAME}{WORD}\[\](){{}}<>|:;,.#/* -]"
-_PLAIN = r"[A-Za-z_](?:[\w-]*+)"
-_LED = rf"^(?![\s>])(?:{_MARKS}|{_PLAIN}(?=[\]\[:|/)>])){{1,24}}?{TIME}[^A-Za-z\u00c0-\u024f\u00ab\"'{{]*"
-_FREE = rf"^(?:<{WORD}>)?(?:{WORD} )?\[?(?:{TIME}|{GTIME})[^A-Za-z\u00c0-\u024f\u00ab\"'{{]*"
+_FREE = rf"^(?:<{WORD}>)?(?:{WORD} )?\[?(?:{TIME}|{GTIME})"
 _KEYED = rf'^(?:\{{"[^{TIME}{TEXT}]*:{TIME}.*\}}$|[A-Za-z_]\w*=[^{TEXT}]*?{TIME}.*$)'
+# An element of a shape: a typed token, a word or another character, with the blank behind it.
+_LETTER = r"\w\u00c0-\u024f"
+_ELEMENT = rf"(?:[{_LETTER}]+|[^{_LETTER}]) ?"
+_TYPED = f"[{TIME}-{TEXT}]"
 
 
 def _keyed(shape: Column) -> Column:
     return shape.rlike(_KEYED) & shape.rlike(r'^(?:\{"|[A-Za-z_])')
 
 
+def skeleton(shape: Column) -> Column:
+    """A line of keys and values with its plain values masked: its keys and typed values; null for others."""
+    return F.when(_keyed(shape), F.regexp_replace(shape, rf"(?<=[:=])[^{TIME}-{TEXT} ,}}]+", "*"))
+
+
 def with_shapes(lines: DataFrame) -> DataFrame:
-    """Adds to ``line``: its shape, the shape's head and the first text of each type."""
+    """Adds to ``line``: its text without colours and quoted values (``bare``), and its shape."""
     bare = lines.withColumn("line", without_colour(F.regexp_replace("line", "\r$", ""))).withColumn("bare", _bare(F.col("line")))
     x = F.regexp_replace("bare", _GTIME, GTIME)
     x = F.regexp_replace(x, _TIME, TIME)
@@ -109,10 +118,7 @@ def with_shapes(lines: DataFrame) -> DataFrame:
     shaped = bare.withColumn("shape", x).withColumn(
         "shape", F.when(F.col("shape").rlike(syslog), F.regexp_replace("shape", syslog, f"$1$2{HOST} {PROGRAM}")).otherwise(F.col("shape"))
     )
-    free, led = F.regexp_extract("shape", _FREE, 0), F.regexp_extract("shape", _LED, 0)
-    led = F.when(led.contains(LEVEL) | led.contains(NAME) & ~led.rlike("[A-Za-z]"), led).otherwise("")
-    head = F.when(_keyed(F.col("shape")), F.col("shape")).when(free != "", free).otherwise(led)
-    return shaped.withColumn("head", head)
+    return shaped
 
 
 def _begins(head: Column) -> Column:
@@ -143,7 +149,7 @@ def tokens(shape: Column) -> Column:
 
 
 def shape_counts(shaped: DataFrame) -> DataFrame:
-    return written(shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.first("head").alias("head")), "shapes")
+    return written(shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n")), "shapes")
 
 
 def ngrams(shapes: DataFrame, size: int) -> DataFrame:
@@ -153,40 +159,126 @@ def ngrams(shapes: DataFrame, size: int) -> DataFrame:
     return toks.where(F.size("t") >= size).select("n", F.explode(grams).alias("gram")).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def templates(shapes: DataFrame) -> DataFrame:
-    """(shape, n, head, template): each shape with its variable tokens as ``<*>``.
+def dictionaries(shapes: DataFrame) -> DataFrame:
+    """(gram, n, n_left, n_right): trigrams, and bigrams as (gram, n) alone.
 
-    A token is constant if, of what follows its two predecessors, its share is CONSTANT or more, a
-    tenth of that for a first token, which has one predecessor only; typed tokens are variable. Trigram and bigram dictionaries are joined by key, never collected.
+    ``n_left`` counts a trigram's first two tokens and ``n_right`` its last two, so that shares are
+    known without joining shapes by a context that many of them have.
     """
-    # counted from 1 the start mark is token 1; each other token brings its two predecessors along
-    t = F.col("t")
-    before = lambda i: F.array_join(F.when(i >= 3, F.slice(t, i - 2, 2)).otherwise(F.slice(t, 1, 1)), " ")
-    each = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(t) - 1)), lambda i: F.struct((i - 1).alias("i"), F.get(t, i - 1).alias("token"), before(i).alias("bi")))
-    spots = shapes.withColumn("t", tokens(F.col("shape"))).select("shape", "n", "head", F.explode(each).alias("e")).select("shape", "n", "head", "e.*").where("token <> '$'")
-    spots = spots.withColumn("tri", F.concat_ws(" ", "bi", "token"))
     two, three = ngrams(shapes, 2), ngrams(shapes, 3)
-    starts = shapes.select(F.lit("^").alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    told = spots.join(three.unionAll(two).select(F.col("gram").alias("tri"), F.col("n").alias("n3")), "tri", "left").join(two.unionAll(starts).select(F.col("gram").alias("bi"), F.col("n").alias("n2")), "bi", "left")
-    typed = F.col("token").rlike("^[\ue001-\ue008]$")
+    part = lambda a, n: F.array_join(F.slice(F.split("gram", " "), a, n), " ")
+    of = lambda side: two.select(F.col("gram").alias(side), F.col("n").alias(f"n_{side}"))
+    full = three.withColumns({"left": part(1, 2), "right": part(2, 2)}).join(of("left"), "left").join(of("right"), "right")
+    total = shapes.agg(F.sum("n")).collect()[0][0]
+    starts = two.where(F.col("gram").startswith("^ ")).select("gram", "n", F.lit(total).cast("bigint").alias("n_left"), F.lit(None).cast("bigint").alias("n_right"))
+    return written(full.select("gram", "n", "n_left", "n_right").unionAll(starts), "grams")
+
+
+def _spots(shapes: DataFrame) -> DataFrame:
+    """Each plain word of each shape with the trigrams that end and begin with it: (shape, i, token, ending, beginning)."""
+    t = F.col("t")
+    gram = lambda i, n: F.array_join(F.slice(t, i, n), " ")
+    each = F.transform(
+        F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(t) - 1)),
+        lambda i: F.struct((i - 1).alias("i"), F.get(t, i - 1).alias("token"), F.when(i == 2, gram(1, 2)).otherwise(gram(i - 2, 3)).alias("ending"), gram(i, 3).alias("beginning")),
+    )
+    rows = shapes.withColumn("t", tokens(F.col("shape"))).select("shape", F.explode(each).alias("e")).select("shape", "e.*")
+    return rows.where(F.col("token").rlike(rf"^[{_LETTER}]"))
+
+
+def predicted(shapes: DataFrame, grams: DataFrame) -> DataFrame:
+    """Adds to the plain words of shapes how often those before and behind them predict them: (shape, i, before, behind, n_left, n_right)."""
+    spots = _spots(shapes)
+    ending = grams.select(F.col("gram").alias("ending"), (F.col("n") / F.col("n_left")).alias("before"), "n_left")
+    beginning = grams.where("n_right is not null").select(F.col("gram").alias("beginning"), (F.col("n") / F.col("n_right")).alias("behind"), "n_right")
+    return spots.join(ending, "ending", "left").join(beginning, "beginning", "left").select("shape", "i", "before", "behind", "n_left", "n_right")
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """(shape, n, template): each shape with its variable tokens as ``<*>``.
+
+    A plain word is constant if, of what follows its two predecessors, its share is CONSTANT or
+    more, a tenth of that for a first word; typed tokens are variable. The dictionaries are joined
+    by key, never collected.
+    """
     least = F.when(F.col("i") == 1, CONSTANT / 10).otherwise(CONSTANT)
-    masked = F.when(typed | (F.coalesce(F.col("n3") / F.col("n2"), F.lit(0.0)) < least) & F.col("token").rlike(r"^\w"), "<*>").otherwise(F.col("token"))
-    parts = told.withColumn("m", masked).groupBy("shape").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("parts"), F.min(F.when(F.col("i") == 2, F.col("n3"))).alias("n_start"))
-    return parts.select("shape", "n", "head", F.array_join(F.transform("parts", lambda p: p["m"]), " ").alias("template"), "n_start")
+    free = predicted(shapes, dictionaries(shapes)).where(F.coalesce("before", F.lit(0.0)) < least).groupBy("shape").agg(F.collect_set("i").alias("free"))
+    words = F.filter(tokens(F.col("shape")), lambda t: ~t.isin("^", "$"))
+    masked = F.transform(words, lambda t, i: F.when(t.rlike(f"^{_TYPED}$") | F.coalesce(F.array_contains("free", i + 1), F.lit(False)), "<*>").otherwise(t))
+    return shapes.join(free, "shape", "left").select("shape", "n", F.array_join(masked, " ").alias("template"))
+
 
+def heads(shapes: DataFrame, grams: DataFrame) -> DataFrame:
+    """(shape, n, head): the part of each shape that is its program's header, '' if it has none.
 
-def layouts(shapes: DataFrame) -> DataFrame:
+    From the start go typed tokens and marks; plain words before the time that a mark ends, or that
+    the tokens on either side predict; plain words behind the time that those before them predict.
+    At the first other word lines branch, and the text begins. The head ends with its last typed
+    token and the marks behind it. Indented and quoted lines have none. Lines of keys and values
+    are heads as a whole, with their plain values masked.
+    """
+    timed = shapes.where(F.col("shape").contains(TIME) | F.col("shape").contains(GTIME))
+    sure = lambda share, n: F.coalesce((F.col(share) >= FIXED) & (F.col(n) >= SEEN), F.lit(False))
+    told = predicted(timed.where(~_keyed(F.col("shape"))), grams).select("shape", "i", sure("before", "n_left").alias("after_two"), sure("behind", "n_right").alias("before_two")).where("after_two or before_two")
+    known = told.groupBy("shape").agg(F.collect_set(F.when(F.col("after_two"), F.col("i"))).alias("after_two"), F.collect_set("i").alias("either"))
+    has = lambda name, i: F.coalesce(F.array_contains(name, i), F.lit(False))
+    parts = F.regexp_extract_all("shape", F.lit(f"({_ELEMENT})"), 1)
+    state = "struct<open:boolean,timed:boolean,i:int,at:int,end:int>"
+
+    def step(now: Column, e: Column) -> Column:
+        token, size = F.rtrim(e["part"]), F.length(e["part"])
+        i = now["i"] + (token != "").cast("int")
+        typed, word = token.rlike(f"^{_TYPED}$"), token.rlike(rf"^[{_LETTER}]")
+        time = token.isin(TIME, GTIME)
+        tag = ~now["timed"] & (~e["part"].endswith(" ") & e["next"].rlike(r"^[\]\[:|/)>]"))
+        fixed = F.when(now["timed"], has("after_two", i)).otherwise(has("either", i) | tag)
+        mark = ~typed & ~word & ~token.isin("\"", "'", "{", "\u00ab")
+        goes = now["open"] & (typed | mark | word & fixed)
+        end = F.when(goes & (typed | mark & (now["end"] == now["at"])), now["at"] + size).otherwise(now["end"])
+        return F.struct(goes.alias("open"), (now["timed"] | goes & time).alias("timed"), i.alias("i"), (now["at"] + size).alias("at"), end.alias("end")).cast(state)
+
+    first = F.struct(F.lit(True), F.lit(False), F.lit(0), F.lit(0), F.lit(0)).cast(state)
+    pairs = F.transform(parts, lambda e, k: F.struct(e.alias("part"), F.coalesce(F.get(parts, k + 1), F.lit("")).alias("next")))
+    walked = timed.join(known, "shape", "left").withColumn("w", F.aggregate(pairs, first, step))
+    found = F.when(F.col("w.timed") & ~F.col("shape").rlike(r"^[\s>]"), F.expr("substring(shape, 1, w.end)")).otherwise("")
+    typed = found.rlike(_FREE) | found.contains(LEVEL) | found.contains(NAME) & ~found.rlike("[A-Za-z]")
+    return walked.select("shape", "n", F.coalesce(skeleton(F.col("shape")), F.when(typed, found).otherwise("")).alias("head"))
+
+
+def layouts(headed: DataFrame) -> DataFrame:
     """Heads that are a program's header: by their typed tokens, else by what follows them.
 
     However rare they are: no head needs a share of the lines.
     """
     head = F.col("head")
-    follows = F.nullif(F.regexp_extract(F.expr("substring(shape, length(head) + 1)"), r"[\w\u00c0-\u024f]+", 0), F.lit(""))
-    found = shapes.where("head <> ''").withColumn("follows", follows).groupBy("head").agg(F.sum("n").alias("n_lines"), F.count_distinct("follows").alias("n_follow"))
+    follows = F.nullif(F.regexp_extract(F.expr("substring(shape, length(head) + 1)"), rf"[{_LETTER}]+", 0), F.lit(""))
+    found = headed.where("head <> ''").withColumn("follows", follows).groupBy("head").agg(F.sum("n").alias("n_lines"), F.count_distinct("follows").alias("n_follow"))
     typed = head.contains(LEVEL) & head.contains(NAME) & ~head.rlike("[A-Za-z]")
     return found.where(_begins(head) | typed | (F.col("n_follow") >= VARIED))
 
 
+def mined(shapes: DataFrame) -> DataFrame:
+    """The layouts of counted shapes, written: dictionaries, heads, and which heads are headers."""
+    return written(layouts(heads(shapes, dictionaries(shapes))), "layouts")
+
+
+def _lead(shape: Column) -> Column:
+    """First element of a shape: what lines and layouts are joined by."""
+    return F.regexp_extract(shape, f"^{_ELEMENT}", 0)
+
+
+def with_head(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``head``: the longest layout that a line's shape begins with; null if there is none.
+
+    Layouts of one first token are one row; their size decides how they are joined.
+    """
+    by_lead = found.groupBy(_lead(F.col("head")).alias("lead")).agg(F.array_sort(F.collect_set(F.struct((-F.length("head")).alias("size"), "head"))).alias("heads"))
+    whole = skeleton(F.col("shape"))
+    own = F.filter("heads", lambda h: F.when(F.col("whole").isNotNull(), h["head"] == F.col("whole")).otherwise(F.startswith(F.col("shape"), h["head"]) & ~_keyed(h["head"])))
+    joined = lines.withColumns({"lead": _lead(F.col("shape")), "whole": whole}).join(by_lead, "lead", "left")
+    return joined.withColumn("head", F.get(own, F.lit(0))["head"]).drop("lead", "whole", "heads")
+
+
 def level_of(text: Column, head: Column) -> Column:
     low = F.lower(text)
     out = F.when(head.startswith("<"), F.get(F.array(*[F.lit(s) for s in SEVERITIES]), F.pmod(text.try_cast("int"), F.lit(8))))
@@ -241,11 +333,6 @@ def _message_lines(rows: DataFrame, document: str, near: Column, keep: list[Colu
     return read.select(*names, F.coalesce(F.try_variant_get("v", "$.ts", "bigint"), "fallback").alias("near"), text.alias("msg")).where("msg is not null")
 
 
-def _headed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows whose head is a layout. The layouts are few; their size decides how they are joined."""
-    return rows.join(found.select("head"), "head", "left_semi")
-
-
 def message_of(line: Column, head: Column) -> Column:
     """What a header line says: the text after its head, or the text field of keys and values."""
     plain = F.regexp_replace(head, r"([\\\[\](){}.*+?^$|#-])", r"\\$1")
@@ -264,17 +351,17 @@ _ROLES = ["time_text", "level_text", "name_text", "near", "head"]
 
 
 def parsed_records(records: DataFrame, texts: bool = False) -> DataFrame:
-    """Lines of single-record entries, shaped and written: id, near, head and role texts."""
+    """Lines of single-record entries, shaped and written."""
     read = _message_lines(records, "d", F.unix_millis(F.col("received_at").cast("timestamp")), [F.col("rec_no").alias("id"), "stream_id"])
     first = read.withColumns({"line": F.substring_index("msg", "\n", 1), "rest": F.expr("substring(msg, length(substring_index(msg, '\\n', 1)) + 1)")})
-    return written(with_fields(with_shapes(first)).select("stream_id", "id", "shape", *_ROLES, *["line", "rest"] * texts), "records")
+    return written(with_shapes(first).select("stream_id", "id", "near", "bare", "shape", *["line", "rest"] * texts), "records")
 
 
 def parsed_results(results: DataFrame, texts: bool = False) -> DataFrame:
     """Lines of streams in ranges of (stream, document id), shaped and written."""
     spread = results.select("stream_id", "document_id", "document").repartitionByRange("stream_id", "document_id").withColumn(PIECE, F.spark_partition_id())
     read = _message_lines(spread, "document", F.shiftright("document_id", 20), [F.col("stream_id"), F.col("document_id").alias("id"), F.col(PIECE)])
-    return written(with_fields(with_shapes(read.withColumn("line", F.col("msg")))).select(PIECE, "stream_id", "id", "shape", *_ROLES, *["line"] * texts), "results")
+    return written(with_shapes(read.withColumn("line", F.col("msg"))).select(PIECE, "stream_id", "id", "near", "bare", "shape", *["line"] * texts), "results")
 
 
 def entries(records: DataFrame, results: DataFrame, texts: bool = False) -> DataFrame:
@@ -284,15 +371,13 @@ def entries(records: DataFrame, results: DataFrame, texts: bool = False) -> Data
     ranges, so that a stream of any length is never in one task.
     """
     single, lines = parsed_records(records, texts), parsed_results(results, texts)
-    shapes = shape_counts(single.select("shape", "head").unionAll(lines.select("shape", "head")))
-    found = written(layouts(shapes), "layouts")
+    found = mined(shape_counts(single.select("shape").unionAll(lines.select("shape"))))
     fields = [time_ms(F.col("time_text"), F.col("near")).alias("ts_ms"), level_of(F.col("level_text"), F.col("head")).alias("lvl"), F.coalesce("name_text", F.lit("")).alias("component")]
     said = lambda rest: [F.concat(message_of(F.col("line"), F.col("head")), rest).alias("message")] if texts else []
-    # the layouts are few; their size at run time decides how they are joined
-    one = single.join(found.select("head"), "head", "left_semi").select(F.lit("wal_records").alias("tab"), "stream_id", F.col("id").alias("first_id"), F.col("id").alias("last_id"), *fields, *said(F.col("rest")))
+    one = with_fields(with_head(single, found).where("head is not null")).select(F.lit("wal_records").alias("tab"), "stream_id", F.col("id").alias("first_id"), F.col("id").alias("last_id"), *fields, *said(F.col("rest")))
 
-    known = found.select("head", F.lit(1).alias("starts"))
-    marked = lines.join(known, "head", "left").withColumn("key", null_safe(F.col("stream_id")))
+    starts = F.when(F.col("head").isNotNull(), 1)
+    marked = with_fields(with_head(lines, found)).withColumns({"key": null_safe(F.col("stream_id")), "starts": starts}).select(PIECE, "key", "stream_id", "id", "starts", *_ROLES, *["line"] * texts)
     inside = Window.partitionBy(PIECE, "key").orderBy("id")
     fresh = marked.withColumn("twin", F.lag("id").over(inside).eqNullSafe(F.col("id")) & (F.row_number().over(inside) > 1)).where("not twin")
     begun = fresh.withColumn("begun", F.sum(F.coalesce("starts", F.lit(0))).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

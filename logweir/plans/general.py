@@ -31,8 +31,8 @@ def p2_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of log lines, with the number of lines of each."""
-    lines = logparse.parsed_records(table(spark, sf_dir, "wal_records")).select("shape", "head")
-    more = logparse.parsed_results(table(spark, sf_dir, "query_results")).select("shape", "head")
+    lines = logparse.parsed_records(table(spark, sf_dir, "wal_records")).select("shape")
+    more = logparse.parsed_results(table(spark, sf_dir, "query_results")).select("shape")
     found = logparse.templates(logparse.shape_counts(lines.unionAll(more)))
     return found.groupBy("template").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_shapes"))
 

@@ -39,3 +39,42 @@ def test_logfmt_of_every_first_key(spark, sf):
     got = core.QUERIES["logfmt_lines"](spark, sf).collect()
     assert {r["rec_no"] for r in got} > {r["rec_no"] for r in core.QUERIES["logfmt_parse"](spark, sf).collect()}
     assert all(r["lvl"] and r["at"] for r in got)
+
+
+WORDS = ["opened", "closed", "retried", "merged", "split", "lost", "found", "kept", "sent", "read", "wrote", "slept"]
+
+
+def unseen(n=60):
+    """Lines of layouts that no pattern is written for, with what is to be read from each."""
+    messages, want = [], []
+    for i in range(n):
+        said = f"{WORDS[i % 12]} {WORDS[i * 5 % 12]} it"
+        at, level, ms = f"2025-01-01 00:00:{i % 60:02d}", ["INFO", "ERROR"][i % 2], MS + i % 60 * 1000
+        messages += [f"{at} worker main {level} a.b - {said}", f"gate speaks {level} at {at} | {said}", f"lease of gate valid until {at} unless {said}"]
+        want += [(ms, level, "a.b", said), (ms, level, "gate", said), None]
+    return messages, {i: w for i, w in enumerate(want) if w}
+
+
+def test_unseen_layouts_are_read_by_the_dictionaries(spark):
+    messages, want = unseen()
+    assert parsed(spark, messages) == want
+
+
+def test_without_dictionaries_the_words_of_a_header_are_not_known(spark, monkeypatch):
+    messages, want = unseen()
+    grams = logparse.dictionaries
+    monkeypatch.setattr(logparse, "dictionaries", lambda shapes: grams(shapes).limit(0))
+    got = parsed(spark, messages)
+    assert got != want and not any(r[2] == "gate" for r in got.values()) and not any(r[1] for r in got.values())
+
+
+def test_long_dotted_components_are_whole(spark):
+    name = ".".join("abcdefghijklmnopqrstuvwxyz")
+    at = "2025-01-01 00:00:01"
+    assert parsed(spark, [f"{at} INFO {name}: opened"]) == {0: (MS + 1000, "INFO", name, "opened")}
+
+
+def test_hot_contexts_and_long_lines(spark):
+    long = "2025-01-01 00:00:01 INFO a.b: " + "word " * 20_000
+    got = parsed(spark, [long, "x" * 200_000, "2025-01-01 00:00:01", "", "\n"])
+    assert got[0][:3] == (MS + 1000, "INFO", "a.b") and set(got) == {0, 2}
