@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import ARCHIVE_BLOCK
-from ..functions.jsonvals import exploded, json_type, text_of, widened
+from ..functions.jsonvals import SPARK_TYPES, exploded, json_type, text_of, widened
 from ..functions.labels import label_text, stream_id
 from . import skew
 
-# Spark's type of each column type.
-SPARK_TYPES = {"int64": "bigint", "float64": "double", "string": "string", "bool": "boolean"}
-
 
 def infer_columns(documents: DataFrame, by: list[str], document: str = "d") -> DataFrame:
     """(by..., col_key, col_type): the least type that holds all of a field's values.

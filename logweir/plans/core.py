@@ -153,11 +153,11 @@ def wal_errors(spark, sf):
 
 _FIELDS = """(SELECT stream_id, file_no, key, json_type(d, '$."' || key || '"') AS t
     FROM (SELECT stream_id, file_no, d, unnest(json_keys(d)) AS key FROM wal_records WHERE json_valid(d)) AS k)"""
-_TYPED = f"(SELECT stream_id, file_no, key AS col_key, CASE t WHEN 'BIGINT' THEN 'int64' WHEN 'UBIGINT' THEN 'int64' WHEN 'DOUBLE' THEN 'float64' WHEN 'BOOLEAN' THEN 'bool' ELSE 'string' END AS kind FROM {_FIELDS} AS f WHERE t <> 'NULL')"
-_WIDER = "CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) WHEN bool_and(kind IN ('int64', 'float64')) THEN 'float64' ELSE 'string' END"
+TYPED = f"(SELECT stream_id, file_no, key AS col_key, CASE t WHEN 'BIGINT' THEN 'int64' WHEN 'UBIGINT' THEN 'int64' WHEN 'DOUBLE' THEN 'float64' WHEN 'BOOLEAN' THEN 'bool' ELSE 'string' END AS kind FROM {_FIELDS} AS f WHERE t <> 'NULL')"
+WIDER = "CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) WHEN bool_and(kind IN ('int64', 'float64')) THEN 'float64' ELSE 'string' END"
 
 
-@_query(f"SELECT col_key, kind, count(*) AS n FROM {_TYPED} AS t GROUP BY ALL")
+@_query(f"SELECT col_key, kind, count(*) AS n FROM {TYPED} AS t GROUP BY ALL")
 def json_number_types(spark, sf):
     fields = exploded(_wal(spark, sf), "d", ["rec_no"]).withColumn("kind", json_type(F.col("value"))).where("kind is not null")
     return fields.groupBy("col_key", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -209,12 +209,12 @@ def late_ids(spark, sf):
 # --- archives (G1, F7, F8, S6 to S12, W5, U1, T8 rollups)
 
 
-@_query(f"SELECT stream_id, file_no, col_key, {_WIDER} AS col_type FROM {_TYPED} AS t GROUP BY stream_id, file_no, col_key")
+@_query(f"SELECT stream_id, file_no, col_key, {WIDER} AS col_type FROM {TYPED} AS t GROUP BY stream_id, file_no, col_key")
 def infer_columns(spark, sf):
     return archive.infer_columns(_wal(spark, sf), ["stream_id", "file_no"])
 
 
-@_query(f"SELECT col_key, {_WIDER} AS col_type FROM {_TYPED} AS t GROUP BY col_key")
+@_query(f"SELECT col_key, {WIDER} AS col_type FROM {TYPED} AS t GROUP BY col_key")
 def widen_types(spark, sf):
     return archive.infer_columns(_wal(spark, sf), [])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import label_text
 from ..operators import compaction, dedup, drift, logparse, skew
 from ..session import table
+from .core import TYPED, WIDER
 
 #: Share of a table's rows from which a key counts as heavy, and rows of a key's chunk.
 HEAVY_SHARE, CHUNK_ROWS = 0.05, 250_000
@@ -78,18 +79,53 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "file_no", "change_kind", "col_key", "col_to")
 
 
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.catalogue(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "archive_columns"))
+
+
+def p6_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column's islands of one type; those behind the first are its retypes."""
+    return drift.lifespans(_columns(spark, sf_dir))
+
+
+def p6_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where columns start and end inside their stream, before renames are told."""
+    columns = _columns(spark, sf_dir)
+    return drift.edges(columns, drift.lifespans(columns))
+
+
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records as one table under their columns' last names."""
     return drift.one_table(table(spark, sf_dir, "wal_records"), table(spark, sf_dir, "archive_columns"), ["rec_no", "file_no"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_messages, p2_templates, p4_found, p4_jobs, p5_found, p5_runs, p6_found, p6_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_messages, p2_templates, p4_found, p4_jobs, p5_found, p5_runs, p6_found, p6_lifespans, p6_edges, p6_table)}
 
 _ID = r"lpad(ltrim(regexp_replace(lower(id), '^\s*(urn:uuid:|0x)|[\s{}-]', '', 'g'), '0'), 32, '0')"
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER BY delivered_at, delivery_no) AS rn FROM queue_jobs"
 _LABELS = "array_to_string(list_transform(list_sort(map_entries(l)), lambda e: e.key || '=' || e.value), ',')"
 
+_CATALOGUE = f"""
+    told AS (SELECT stream_id, file_no, col_key, CASE col_type WHEN 0 THEN 'int64' WHEN 1 THEN 'float64' WHEN 2 THEN 'string' WHEN 3 THEN 'bool' END AS kind
+             FROM archive_columns WHERE stream_id IS NOT NULL AND file_no IS NOT NULL AND col_key IS NOT NULL),
+    seen AS (SELECT stream_id, file_no, col_key, kind FROM {TYPED} AS t WHERE stream_id IS NOT NULL AND file_no IS NOT NULL AND (stream_id, file_no) NOT IN (SELECT (stream_id, file_no) FROM told)),
+    cat AS (SELECT stream_id, file_no, col_key, {WIDER} AS col_type FROM (SELECT * FROM told UNION ALL SELECT * FROM seen) AS u WHERE kind IS NOT NULL GROUP BY 1, 2, 3)"""
+_SPANS = f"""
+    WITH {_CATALOGUE},
+    begun AS (SELECT *, CASE WHEN lag(col_type) OVER w = col_type THEN 0 ELSE 1 END AS s FROM cat WINDOW w AS (PARTITION BY stream_id, col_key ORDER BY file_no))
+    SELECT stream_id, col_key, col_type, CAST(island AS BIGINT) AS island, min(file_no) AS first_file, max(file_no) AS last_file, count(*) AS n_files
+    FROM (SELECT *, sum(s) OVER (PARTITION BY stream_id, col_key ORDER BY file_no ROWS UNBOUNDED PRECEDING) AS island FROM begun) AS i GROUP BY stream_id, col_key, col_type, island"""
+_EDGES = f"""
+    WITH {_CATALOGUE},
+    life AS (SELECT stream_id, col_key, min(file_no) AS a, max(file_no) AS b, arg_min(col_type, file_no) AS t0, arg_max(col_type, file_no) AS t1 FROM cat GROUP BY 1, 2),
+    ends AS (SELECT stream_id, min(file_no) AS lo, max(file_no) AS hi FROM cat GROUP BY 1)
+    SELECT stream_id, a AS file_no, col_key, t0 AS col_type, 'start' AS side FROM life JOIN ends USING (stream_id) WHERE a > lo
+    UNION ALL
+    SELECT l.stream_id, (SELECT min(file_no) FROM cat AS c WHERE c.stream_id = l.stream_id AND c.file_no > l.b), l.col_key, l.t1, 'end' FROM life AS l JOIN ends AS e ON l.stream_id = e.stream_id WHERE b < hi"""
+
 SQL = {
+    "p6_lifespans": _SPANS,
+    "p6_edges": _EDGES,
     "p1_found": """
         SELECT DISTINCT 'wal' AS obj_kind, json_extract_string(line, '$.l.stream') AS stream_name, json_extract_string(line, '$.d._id') AS rec_key
         FROM (SELECT unnest(string_split(raw, chr(10))) AS line FROM blob_objects WHERE obj_key LIKE 'wal/%') AS t

@@ -217,7 +217,22 @@ def test_one_table_follows_names(spark):
     rows = [(0, {"a": 1, "ts": 5}), (0, {"a": 2}), (1, {"b": 1}), (1, {"b": 2.5, "msg": "x"}), (2, {"c": 2}), (2, {"c": 1}), (2, {"c": None})]
     wal = spark.createDataFrame([(i, 1, f, json.dumps(d), None) for i, (f, d) in enumerate(rows)], WAL)
     out = drift.one_table(wal, spark.createDataFrame([], DEFS), ["rec_no"]).orderBy("rec_no").collect()
-    assert [r["fields"].get("c") for r in out] == ["1.0", "2.0", "1.0", "2.5", "2.0", "1.0", None] and out[0]["ts"] == 5 and out[3]["msg"] == "x"
+    assert [r["c"] for r in out] == [1.0, 2.0, 1.0, 2.5, 2.0, 1.0, None] and out[0]["ts"] == 5 and out[3]["msg"] == "x"
+    few = drift.one_table(wal, spark.createDataFrame([], DEFS), ["rec_no"], most=1).orderBy("rec_no").collect()
+    assert [r["rest"].get("ts") for r in few] == ["5", *[None] * 6] and few[4]["c"] == 2.0
+
+
+def test_islands_are_counted_from_the_first_type(spark):
+    columns = spark.createDataFrame([(1, f, "a", t) for f, t in enumerate(["int64", "int64", "string", "int64"])] + [(1, 9, "b", "bool")], "stream_id bigint, file_no int, col_key string, col_type string")
+    spans = drift.lifespans(columns)
+    assert {(r["col_key"], r["island"], r["first_file"], r["last_file"], r["n_files"]) for r in spans.collect()} == {("a", 1, 0, 1, 2), ("a", 2, 2, 2, 1), ("a", 3, 3, 3, 1), ("b", 1, 9, 9, 1)}
+    assert {tuple(r) for r in drift.retypes(spans).collect()} == {(1, 2, "a", "string"), (1, 3, "a", "int64")}
+
+
+def test_columns_that_share_values_by_chance_only_are_not_renamed(spark):
+    # both hold most of the numbers below 40 that any such column holds, so 6 common ones are chance
+    files = {0: [{"x": 1, "gone": v} for v in range(0, 23)], 1: [{"x": 1, "come": v} for v in range(17, 40)]}
+    assert changes_of(spark, files) == {(1, "removed", "gone", ""), (1, "added", "come", "int64")}
 
 
 def test_drift_on_the_test_data(spark, sf):
