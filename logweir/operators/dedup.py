@@ -1,10 +1,10 @@
 """Messages delivered more than once: one copy of each, by narrow winners and deletion vectors.
 
 Only the identifier, the delivery order and the position of a row (file, row number) are
-shuffled. Winners are chosen by a partial and a final minimum, so a hot identifier is reduced
-before the shuffle. Winners and all rows become bitmaps of 32,768 rows per file and block; the
-difference is the deletion vector of the block. The wide columns are then read file by file with
-the vectors applied, and never shuffled.
+shuffled, once. Winners are chosen by a partial and a final minimum, so a hot identifier is reduced
+before the shuffle; a row without identifier wins by itself. Winners become bitmaps of 32,768 rows
+per file and block; what is not in its block's bitmap is deleted. The wide columns are then read row
+group by row group with these vectors applied, and never shuffled.
 
 Defined results: a null or unreadable identifier makes no message and is never surplus (it is
 kept by ``survivors``); ties in time are decided by the delivery number, and equal rows by their
@@ -39,37 +39,26 @@ def id128(text: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{1,32}$"), F.unhex(F.lpad(bare, 32, "0")))
 
 
-def _positions(path: str | list[str], spark: SparkSession, ident: Column, order: list[str]) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.select(
-        ident.alias("id"),
-        F.struct(*order, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-    ).where("id is not null")
+def _file(path: str) -> Column:
+    """Number of a file by its path, which Spark spells with one or three slashes behind file:."""
+    return F.xxhash64(F.regexp_replace(path, "^file:/+", "file:///"))
 
 
 def deletion_vectors(spark: SparkSession, path: str | list[str], ident: Column, order: list[str]) -> DataFrame:
-    """(file, block, bits): the surplus rows of each block of each file, for blocks that have any.
+    """(file, block, kept): the rows of each block of each file that stay; a block without a row here has none.
 
-    ``file`` is the hash of the path that Spark names, ``bits`` a little-endian bitmap.
+    ``file`` is the hash of the path that Spark names, ``kept`` a little-endian bitmap.
     """
-    rows = _positions(path, spark, ident, order)
-    winners = rows.groupBy("id").agg(F.min("at").alias("at"))
-
-    def spots(df: DataFrame, kind: int) -> DataFrame:
-        return df.select(F.col("at.file").alias("file"), F.floor(F.col("at.row") / BLOCK).alias("block"), (F.col("at.row") % BLOCK).alias("bit"), F.lit(kind).alias("kind"))
-
-    bits = spots(rows, 0).unionAll(spots(winners, 1)).groupBy("file", "block").agg(
-        F.bitmap_construct_agg(F.when(F.col("kind") == 0, F.col("bit"))).alias("all"),
-        F.bitmap_construct_agg(F.when(F.col("kind") == 1, F.col("bit"))).alias("won"),
-        F.count(F.when(F.col("kind") == 0, 1)).alias("n_all"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("n_won"),
-    )
-    return written(bits.select("file", "block", F.col("all"), F.col("won"), (F.col("n_all") - F.col("n_won")).alias("n_surplus")), "vectors")
+    spot = F.struct(_file("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = spark.read.parquet(path).select(ident.alias("id"), *order, spot.alias("spot"))
+    at = F.struct(*order, F.col("spot.file").alias("file"), F.col("spot.row").alias("row"))
+    winners = rows.groupBy("id", F.when(F.col("id").isNull(), F.col("spot")).alias("alone")).agg(F.min(at).alias("at"))
+    places = winners.select(F.col("at.file").alias("file"), F.floor(F.col("at.row") / BLOCK).alias("block"), (F.col("at.row") % BLOCK).alias("bit"))
+    return written(places.groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("kept")), "vectors")
 
 
 def _units(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per row group of each file: what a task reads at once."""
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).groupBy("path").agg(F.first("size").alias("size"))
+    """One row per row group of each file: what a task reads at once. Only footers are read."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -86,7 +75,13 @@ def _units(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         at += n
             yield pa.RecordBatch.from_pydict({"path": pa.array(out["path"], pa.string()), **{k: pa.array(out[k], pa.int64()) for k in ("row_group", "first", "n")}})
 
-    return files.mapInArrow(groups, "path string, row_group bigint, first bigint, n bigint").withColumn("file", F.xxhash64("path"))
+    files = spark.createDataFrame([(p,) for p in spark.read.parquet(path).inputFiles()], "path string")
+    return files.repartition(_tasks(spark)).mapInArrow(groups, "path string, row_group bigint, first bigint, n bigint").withColumn("file", _file("path"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """A number of partitions of its own, since rows that name files are too few bytes to be left to AQE."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataFrame, columns: list[str], surplus: bool = False) -> DataFrame:
@@ -97,12 +92,8 @@ def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataF
     schema = T.StructType([f for f in spark.read.parquet(path).select(*columns).schema])
     arrow = to_arrow_schema(schema)
     units = _units(spark, path).withColumn("block", F.explode(F.when(F.col("n") > 0, F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK)))))
-    joined = units.join(vectors, ["file", "block"], "inner" if surplus else "left")
-    work = joined.groupBy("path", "row_group", "first", "n").agg(
-        F.collect_list(F.struct("block", "all", "won")).alias("maps"), F.coalesce(F.sum("n_surplus"), F.lit(0)).alias("n_surplus")
-    )
-    if surplus:
-        work = work.where("n_surplus > 0")
+    joined = units.join(vectors, ["file", "block"], "left")
+    work = joined.groupBy("path", "row_group", "first", "n").agg(F.collect_list(F.struct("block", "kept")).alias("maps"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -111,14 +102,14 @@ def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataF
         for batch in batches:
             for unit in batch.to_pylist():
                 first, n = unit["first"], unit["n"]
-                dead = np.zeros(n, dtype=bool)
+                keep = np.zeros(n, dtype=bool)
                 for m in unit["maps"]:
-                    if m["block"] is None or m["all"] is None:
+                    if m["block"] is None or m["kept"] is None:
                         continue
-                    gone = np.unpackbits(np.frombuffer(m["all"], np.uint8) & ~np.frombuffer(m["won"], np.uint8), bitorder="little").astype(bool)
+                    kept = np.unpackbits(np.frombuffer(m["kept"], np.uint8), bitorder="little").astype(bool)
                     low, high = max(first, m["block"] * BLOCK), min(first + n, (m["block"] + 1) * BLOCK)
-                    dead[low - first : high - first] = gone[low - m["block"] * BLOCK : high - m["block"] * BLOCK]
-                keep = dead if surplus else ~dead
+                    keep[low - first : high - first] = kept[low - m["block"] * BLOCK : high - m["block"] * BLOCK]
+                keep = ~keep if surplus else keep
                 if not keep.any():
                     continue
                 with open_input(unit["path"]) as f:
@@ -129,7 +120,7 @@ def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataF
                         if len(chosen):
                             yield pa.Table.from_batches([chosen]).select(columns).cast(arrow).combine_chunks().to_batches()[0]
 
-    return work.mapInArrow(read, schema)
+    return work.repartition(_tasks(spark), "path", "row_group").mapInArrow(read, schema)
 
 
 def surplus_rows(spark: SparkSession, path: str | list[str], ident: Column, order: list[str], columns: list[str]) -> DataFrame:
