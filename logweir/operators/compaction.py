@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch, written
+from ..sources.blobs import listed
 from ..sources.files import open_input, resolve
 from ..sources.parquet_blocks import FILE_ROWS, BlockWriter, blocks_of, read_footer, schema_key
 
@@ -46,8 +47,8 @@ def footers(spark: SparkSession, folder: str) -> DataFrame:
                     names=["path", "size", "schema_key", "n_blocks", "n_rows"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length").mapInArrow(read, FOOTERS)
+    files = listed(spark, folder, ".parquet").select(F.col("key").alias("path"), F.col("size_bytes").alias("length"))
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, FOOTERS)
 
 
 def plan_bins(files: DataFrame, target_bytes: int) -> DataFrame:

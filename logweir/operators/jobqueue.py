@@ -116,7 +116,7 @@ class JobQueue:
             return False
         return True
 
-    def _change(self, file_id: str, change: Callable[[State], State | None]) -> State | None:
+    def change(self, file_id: str, change: Callable[[State], State | None]) -> State | None:
         """Applies ``change`` to a file until it is stored; None if it or the file gives nothing to do."""
         for _ in self._tries():
             found = self.read(file_id)
@@ -153,14 +153,14 @@ class JobQueue:
                     return file_id
                 continue
             target = self._place(files)
-            if target and self._change(target, lambda s: grown(s) if s["status"] in (ACTIVE, PREPARING) else None):
+            if target and self.change(target, lambda s: grown(s) if s["status"] in (ACTIVE, PREPARING) else None):
                 return target
 
     def _place(self, files: list[str]) -> str | None:
         """The first open file with a quarter of MAX_JOBS or more, else the first open one."""
         first = None
         for file_id in files:
-            state = self._settled(file_id)
+            state = self.settled(file_id)
             if state is None or state["status"] not in (ACTIVE, PREPARING):
                 continue
             if len(state["jobs"]) >= MAX_JOBS // 4:
@@ -194,7 +194,7 @@ class JobQueue:
                     return state | {"jobs": [*state["jobs"][:i], taken[0], *state["jobs"][i + 1 :]]}
             return None
 
-        if self._settled(file_id) and self._change(file_id, lease):
+        if self.settled(file_id) and self.change(file_id, lease):
             return Item(file_id, taken[0]["id"], taken[0].get("payload"))
         return None
 
@@ -209,7 +209,7 @@ class JobQueue:
                 return None
             return state | {"jobs": [job | {"status": RUNNING, "lockedUntil": until} if job["id"] == item.job_id else job for job in state["jobs"]]}
 
-        return self._change(item.file_id, again) is not None
+        return self.change(item.file_id, again) is not None
 
     def remove(self, item: Item) -> bool:
         """Deletes a job that is done, and its file with the last one."""
@@ -220,11 +220,11 @@ class JobQueue:
                 return None
             return state | {"jobs": left} if left else GONE
 
-        return self._change(item.file_id, drop) is not None
+        return self.change(item.file_id, drop) is not None
 
     # --- splitting
 
-    def _settled(self, file_id: str) -> State | None:
+    def settled(self, file_id: str) -> State | None:
         """A file's state after the steps that its splitting wanted."""
         for _ in self._tries():
             found = self.read(file_id)
@@ -256,7 +256,7 @@ class JobQueue:
                 return None
             return state | {"status": SPLITTING, "splitInto": into, "lockedUntil": self._lock_end()}
 
-        return self._change(file_id, lock) is not None and self._carry_on(file_id, fresh=True)
+        return self.change(file_id, lock) is not None and self._carry_on(file_id, fresh=True)
 
     def _lock_end(self) -> str:
         return _text(self.now() + timedelta(seconds=SPLIT_SECONDS))
@@ -276,7 +276,7 @@ class JobQueue:
                 return None
             return state | {"lockedUntil": self._lock_end()} if not fresh or self.must_extend(state) else state
 
-        state = self._change(file_id, relock)
+        state = self.change(file_id, relock)
         if state is None:
             return False
         into, half = state["splitInto"], len(state["jobs"]) // 2
@@ -289,11 +289,11 @@ class JobQueue:
                 return None
             return _without(now, "splitInto", "lockedUntil") | {"status": ACTIVE, "jobs": [job for job in now["jobs"] if job["id"] not in moved]}
 
-        return self._change(file_id, give_up) is not None and (not moved or self._free(into, "splitFrom"))
+        return self.change(file_id, give_up) is not None and (not moved or self._free(into, "splitFrom"))
 
     def _free(self, file_id: str, link: str) -> bool:
         """A file is active again and forgets its lock and its other half."""
-        return self._change(file_id, lambda s: _without(s, link, "lockedUntil") | {"status": ACTIVE} if s["status"] == SPLITTING else None) is not None
+        return self.change(file_id, lambda s: _without(s, link, "lockedUntil") | {"status": ACTIVE} if s["status"] == SPLITTING else None) is not None
 
 
 class Producer:

@@ -75,10 +75,16 @@ def time_range(records: DataFrame, low_ms: int, high_ms: int, lateness_ms: int,
     return logs(records.where(near)).where((F.col("ts") >= low_ms) & (F.col("ts") < high_ms))
 
 
-def by_ids(rows: DataFrame, ident: str, ids: DataFrame | list) -> DataFrame:
-    """Rows whose id is wanted. A list becomes a predicate of the scan, a DataFrame a semi-join."""
+def by_ids(rows: DataFrame, ident: str | list[str], ids: DataFrame | list) -> DataFrame:
+    """Rows whose id is wanted. A list becomes a predicate of the scan, a DataFrame a semi-join.
+
+    ident: the column of the id, or for a DataFrame the columns that make it up, named the same
+    there: a document's id is unique inside its stream only.
+    """
     if isinstance(ids, DataFrame):
-        return rows.join(ids.select(F.col(ids.columns[0]).alias(ident)), ident, "left_semi")
+        if isinstance(ident, str):
+            return rows.join(ids.select(F.col(ids.columns[0]).alias(ident)), ident, "left_semi")
+        return rows.join(ids.select(*ident), ident, "left_semi")
     return rows.where(F.col(ident).isin(*ids))
 
 

@@ -18,14 +18,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def queries_of(queries: dict, sqls: dict):
+    """A decorator's maker that enters a query, with its SQL if it has one."""
 
-    return add
+    def make(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return make
+
+
+_query = queries_of(QUERIES, SQL)
 
 
 # What the example queries ask for.
@@ -103,16 +111,16 @@ def get_by_ids(spark, sf):
     return query.by_ids(_wal(spark, sf), "rec_no", [1, 17, 400, 999999999]).select("rec_no", "stream_id", "d")
 
 
-@_query("SELECT stream_id, document_id, document FROM query_results WHERE document_id IN (SELECT document_id FROM postings)")
+@_query("SELECT stream_id, document_id, document FROM query_results WHERE (stream_id, document_id) IN (SELECT (stream_id, document_id) FROM postings)")
 def get_by_ids_semi(spark, sf):
-    wanted = table(spark, sf, "postings").select("document_id")
-    return query.by_ids(table(spark, sf, "query_results"), "document_id", wanted).select("stream_id", "document_id", "document")
+    keys = ["stream_id", "document_id"]
+    return query.by_ids(table(spark, sf, "query_results"), keys, table(spark, sf, "postings")).select(*keys, "document")
 
 
-@_query("SELECT count(*) AS n, count(DISTINCT stream_id) AS n_streams FROM wal_records WHERE NOT (stream_id = -1969036589157345924 AND epoch_us(received_at) // 1000 < 1734400000000)")
+@_query("SELECT rec_no, stream_id, d FROM wal_records WHERE NOT (stream_id = -1969036589157345924 AND epoch_us(received_at) // 1000 < 1734400000000)")
 def stream_truncate(spark, sf):
     rows = query.truncated(_wal(spark, sf), "stream_id", -1969036589157345924, HIGH_MS, F.unix_millis(F.col("received_at").cast("timestamp")))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stream_id").alias("n_streams"))
+    return rows.select("rec_no", "stream_id", "d")
 
 
 # --- ingest and log
@@ -247,10 +255,10 @@ def row_to_document(spark, sf):
     return out.select("rec_no", F.get_json_object("document", "$.msg").alias("msg"), F.get_json_object("document", "$.tenant").alias("tenant"))
 
 
-@_query("SELECT rec_no, stream_id, NULL::BIGINT AS document_id FROM wal_records UNION ALL SELECT NULL, stream_id, document_id FROM query_results")
+@_query("SELECT rec_no, stream_id, NULL::BIGINT AS document_id, d AS document FROM wal_records UNION ALL SELECT NULL, stream_id, document_id, document FROM query_results")
 def disk_union_wal(spark, sf):
-    stored = table(spark, sf, "query_results").select("stream_id", "document_id")
-    return _wal(spark, sf).select("rec_no", "stream_id").unionByName(stored, allowMissingColumns=True)
+    stored = table(spark, sf, "query_results").select("stream_id", "document_id", "document")
+    return _wal(spark, sf).select("rec_no", "stream_id", F.col("d").alias("document")).unionByName(stored, allowMissingColumns=True)
 
 
 @_query("SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n, avg(value) AS mean_value, max(value) AS max_value FROM events GROUP BY 1, 2")
@@ -428,12 +436,12 @@ def size_by_stream(spark, sf):
 
 # --- queue (Q1 to Q11, O5, O6) and objects
 
-_FILES = """(SELECT regexp_extract(obj_key, '([^/]+?)(?:\\.json)?$', 1) AS file_id, coalesce(nullif(json_extract_string(raw, '$.status'), ''), 'active') AS status,
-    CAST(json_extract(raw, '$.jobs') AS JSON[]) AS jobs FROM blob_objects WHERE obj_key LIKE 'queue/%' AND json_valid(raw))"""
-_JOBS = f"(SELECT file_id, f.status AS file_status, len(jobs) AS n_jobs, unnest(range(len(jobs))) AS job_no, unnest(jobs) AS j FROM {_FILES} AS f)"
-_JOB = f"""(SELECT file_id, file_status, n_jobs, CAST(job_no AS INT) AS job_no, json_extract_string(j, '$.id') AS id, coalesce(nullif(json_extract_string(j, '$.status'), ''), 'pending') AS status,
-    CAST(substr(json_extract_string(j, '$.lockedUntil'), 1, 26) AS TIMESTAMP) AS until FROM {_JOBS} AS q)"""
-_FREE = f"(status = 'pending' OR status = 'in_progress' AND coalesce(until <= TIMESTAMP '{NOW}', false))"
+FILES = """(SELECT regexp_extract(obj_key, '([^/]+?)(?:\\.json)?$', 1) AS file_id, coalesce(nullif(json_extract_string(raw, '$.status'), ''), 'active') AS status,
+    CAST(json_extract(raw, '$.jobs') AS JSON[]) AS jobs, raw FROM blob_objects WHERE obj_key LIKE 'queue/%' AND json_valid(raw))"""
+JOBS = f"(SELECT file_id, f.status AS file_status, len(jobs) AS n_jobs, unnest(range(len(jobs))) AS job_no, unnest(jobs) AS j FROM {FILES} AS f)"
+JOB = f"""(SELECT file_id, file_status, n_jobs, CAST(job_no AS INT) AS job_no, json_extract_string(j, '$.id') AS id, coalesce(nullif(json_extract_string(j, '$.status'), ''), 'pending') AS status,
+    CAST(substr(json_extract_string(j, '$.lockedUntil'), 1, 26) AS TIMESTAMP) AS until FROM {JOBS} AS q)"""
+FREE = f"(status = 'pending' OR status = 'in_progress' AND coalesce(until <= TIMESTAMP '{NOW}', false))"
 
 
 def _snapshot(spark, sf) -> DataFrame:
@@ -444,17 +452,17 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-@_query(f"SELECT file_id, status, len(jobs) AS n_jobs FROM {_FILES} AS f")
+@_query(f"SELECT file_id, status, len(jobs) AS n_jobs FROM {FILES} AS f")
 def queue_files(spark, sf):
     return _snapshot(spark, sf).select("file_id", "status", F.size("jobs").cast("bigint").alias("n_jobs"))
 
 
-@_query(f"SELECT file_id, min(job_no) AS job_no, arg_min(id, job_no) AS id FROM {_JOB} AS j WHERE file_status = 'active' AND {_FREE} GROUP BY file_id")
+@_query(f"SELECT file_id, min(job_no) AS job_no, arg_min(id, job_no) AS id FROM {JOB} AS j WHERE file_status = 'active' AND {FREE} GROUP BY file_id")
 def queue_claimable(spark, sf):
     return queue.claimable(_snapshot(spark, sf), _now())
 
 
-@_query(f"SELECT file_id, id, until AS locked_until FROM {_JOB} AS j WHERE until <= TIMESTAMP '{NOW}'")
+@_query(f"SELECT file_id, id, until AS locked_until FROM {JOB} AS j WHERE until <= TIMESTAMP '{NOW}'")
 def queue_expired(spark, sf):
     jobs = _snapshot(spark, sf).select("file_id", F.explode("jobs").alias("j"))
     return jobs.where(queue.expired(F.col("j.locked_until"), _now())).select("file_id", "j.id", F.col("j.locked_until").cast("timestamp_ntz").alias("locked_until"))
@@ -462,7 +470,7 @@ def queue_expired(spark, sf):
 
 @_query(f"""
     SELECT file_id, job_no, id, job_no < n_jobs // 2 AS to_new
-    FROM (SELECT *, bool_and(status = 'pending') OVER (PARTITION BY file_id) AS idle FROM {_JOB} AS j) AS t WHERE idle AND n_jobs >= 2""")
+    FROM (SELECT *, bool_and(status = 'pending') OVER (PARTITION BY file_id) AS idle FROM {JOB} AS j) AS t WHERE idle AND n_jobs >= 2""")
 def queue_split(spark, sf):
     """How the files with waiting jobs only would be split."""
     files = _snapshot(spark, sf).withColumn("status", F.lit(queue.PREPARING))
@@ -470,17 +478,23 @@ def queue_split(spark, sf):
 
 
 @_query(f"""
-    SELECT file_id, n_jobs FROM (SELECT file_id, CAST(len(jobs) AS INT) AS n_jobs FROM {_FILES} AS f WHERE status IN ('active', 'preparing_split')) AS t
+    SELECT file_id, n_jobs FROM (SELECT file_id, CAST(len(jobs) AS INT) AS n_jobs FROM {FILES} AS f WHERE status IN ('active', 'preparing_split')) AS t
     ORDER BY n_jobs < 32, file_id LIMIT 1""")
 def queue_place(spark, sf):
     return queue.place(_snapshot(spark, sf))
 
 
-@_query(f"SELECT file_id, count(*) AS n_jobs FROM {_JOB} AS j WHERE id <> '00' GROUP BY file_id")
+@_query("""
+    SELECT file_id, file_status, split_into, split_from, job_no, id, status, until AS locked_until, json_extract_string(j, '$.payload.op') AS op, json_extract_string(j, '$.payload.src') AS src, json_extract_string(j, '$.payload.note') AS note
+    FROM (SELECT file_id, status AS file_status, split_into, split_from, CAST(unnest(range(len(jobs))) AS INT) AS job_no, unnest(jobs) AS j FROM (
+              SELECT *, json_extract_string(raw, '$.splitInto') AS split_into, json_extract_string(raw, '$.splitFrom') AS split_from FROM """ + FILES + """ AS f) AS g) AS q,
+         LATERAL (SELECT json_extract_string(j, '$.id') AS id, coalesce(nullif(json_extract_string(j, '$.status'), ''), 'pending') AS status, CAST(substr(json_extract_string(j, '$.lockedUntil'), 1, 26) AS TIMESTAMP) AS until) AS x""")
 def queue_roundtrip(spark, sf):
-    """Files written as JSON and read again."""
+    """Files written as JSON and read again, with every field of their jobs."""
     again = queue.decode(queue.encode(_snapshot(spark, sf)), "file_id", "raw")
-    return again.where(F.size("jobs") > 0).select("file_id", F.size("jobs").cast("bigint").alias("n_jobs"))
+    jobs = again.select("file_id", F.col("status").alias("file_status"), "split_into", "split_from", F.posexplode("jobs").alias("job_no", "j"))
+    told = lambda k: F.get_json_object("j.payload", f"$.{k}").alias(k)
+    return jobs.select("file_id", "file_status", "split_into", "split_from", "job_no", "j.id", "j.status", F.col("j.locked_until").cast("timestamp_ntz").alias("locked_until"), told("op"), told("src"), told("note"))
 
 
 @_query("SELECT obj_key, substr(hex(encode(raw)), 5, 16) AS part FROM blob_objects WHERE strlen(raw) >= 10")

@@ -66,7 +66,7 @@ def test_a_file_in_use_is_not_split(jobs):
 @pytest.mark.parametrize("stop", ["locked", "created", "given up"])
 def test_a_split_that_was_left_is_taken_up_after_its_lock(jobs, clock, stop, monkeypatch):
     file_id = jobs.push(list(range(129)))
-    change, create = jobs._change, jobs.create
+    change, create = jobs.change, jobs.create
 
     class Left(Exception):
         pass
@@ -78,16 +78,16 @@ def test_a_split_that_was_left_is_taken_up_after_its_lock(jobs, clock, stop, mon
         monkeypatch.setattr(jobs, "create", stopped)
     else:
         calls = iter(range(9))
-        monkeypatch.setattr(jobs, "_change", lambda f, c: stopped() if next(calls) == (2 if stop == "created" else 3) else change(f, c))
+        monkeypatch.setattr(jobs, "change", lambda f, c: stopped() if next(calls) == (2 if stop == "created" else 3) else change(f, c))
     with pytest.raises(Left):
         jobs.split(file_id)
-    monkeypatch.setattr(jobs, "_change", change)
+    monkeypatch.setattr(jobs, "change", change)
     monkeypatch.setattr(jobs, "create", create)
     locked = [f for f in jobs.file_ids() if jobs.read(f)[0]["status"] == "splitting"]
     assert locked and not any(jobs.advance(f, jobs.read(f)[0]) for f in locked)
     clock.at += timedelta(seconds=30)
     assert jobs.pull(1) is not None
-    jobs.pull(1), [jobs._settled(f) for f in jobs.file_ids()]
+    jobs.pull(1), [jobs.settled(f) for f in jobs.file_ids()]
     assert len(jobs.file_ids()) == 2 and everything(jobs) == list(range(129))
     assert all(jobs.read(f)[0]["status"] == "active" for f in jobs.file_ids())
 
