@@ -9,7 +9,7 @@ from ..functions import codecs, ids
 from ..functions.labels import label_text, stream_id
 from ..functions.jsonvals import exploded, json_type, text_type
 from ..operators import archive, query, queue, skew, trigram
-from ..session import scratch, table
+from ..session import scratch, table, written
 from ..sources import blobs, wal
 from ..streaming import ingest
 from ..streaming.ids import with_stream_ids
@@ -319,19 +319,39 @@ def trigram_postings(spark, sf):
     return table(spark, sf, "postings").where(F.lower("trigram") == "726574").withColumn("trigram", F.lower("trigram")).distinct()
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index of all texts, written once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch(spark, "trigram")
+        trigram.stored(trigram.postings(_texts(spark, sf), "text", padded=False), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+@_query(f"""
+    SELECT lower(substr(h, 2 * i + 1, 6)) AS trigram, count(*) AS n FROM (SELECT h, unnest(range(CAST(length(h) / 2 AS BIGINT) - 2)) AS i FROM {_HEX} AS t) AS v GROUP BY 1""")
+def trigram_store(spark, sf):
+    """The index written and read again: postings of each trigram."""
+    return _index(spark, sf).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(_occurrences("the lease"))
 def trigram_search(spark, sf):
-    return trigram.search(trigram.postings(_texts(spark, sf), "text", padded=False), "the lease")
+    return trigram.search(_index(spark, sf), "the lease")
 
 
 @_query(_occurrences("0000"))
 def trigram_search_repeat(spark, sf):
-    return trigram.search(trigram.postings(_texts(spark, sf), "text", padded=False), "0000")
+    return trigram.search(_index(spark, sf), "0000")
 
 
 @_query(_occurrences("più"))
 def trigram_search_utf8(spark, sf):
-    return trigram.search(trigram.postings(_texts(spark, sf), "text", padded=False), "più")
+    return trigram.search(_index(spark, sf), "più")
 
 
 @_query(_occurrences("we"))
@@ -342,24 +362,51 @@ def trigram_search_short(spark, sf):
 @_query("SELECT coalesce(stream_id, 0) AS stream_id, doc_id AS document_id FROM documents WHERE contains(text, 'Checksum')")
 def trigram_indexed_query(spark, sf):
     """Index stored in the shared folder, searched, documents fetched by semi-join."""
-    texts, path = _texts(spark, sf), scratch(spark, "trigram")
-    trigram.stored(trigram.postings(texts, "text", padded=False), path)
-    return trigram.indexed_query(spark.read.parquet(path), texts, "text", "Checksum").select("stream_id", "document_id")
+    return trigram.indexed_query(_index(spark, sf), _texts(spark, sf), "text", "Checksum").select("stream_id", "document_id")
 
 
 @_query(_occurrences("cursor "))
 def trigram_multi_segment(spark, sf):
     """Two overlapping segments: what both hold is found once."""
     texts = _texts(spark, sf)
-    parts = [trigram.postings(texts.where(c), "text", padded=False) for c in ("document_id % 3 < 2", "document_id % 3 > 0")]
+    wanted = [t for _, t in trigram.pieces_of("cursor ")]
+    parts = [trigram.postings(texts.where(c), "text", padded=False, only=wanted) for c in ("document_id % 3 < 2", "document_id % 3 > 0")]
     return trigram.search_segments(parts, "cursor ")
 
 
-@_query("SELECT t.trigram, count(DISTINCT n.no) AS n FROM (SELECT DISTINCT lower(trigram) AS trigram, stream_id, document_id FROM postings) AS t JOIN (SELECT stream_id, document_id, row_number() OVER () AS no FROM (SELECT DISTINCT stream_id, document_id FROM postings) AS d) AS n USING (stream_id, document_id) GROUP BY 1")
+def _bitmaps(spark, sf) -> tuple[DataFrame, DataFrame]:
+    index = table(spark, sf, "postings").select(F.lower("trigram").alias("trigram"), "stream_id", "document_id").distinct()
+    numbers = written(trigram.document_numbers(index), "numbers")
+    return trigram.bitmaps(index.join(numbers, ["stream_id", "document_id"]), F.col("no")), numbers
+
+
+@_query("SELECT trigram, count(*) AS n FROM (SELECT DISTINCT lower(trigram) AS trigram, stream_id, document_id FROM postings) AS t GROUP BY 1")
 def trigram_bitmaps(spark, sf):
-    """Posting lists as bitmaps of hashed document numbers, counted back per trigram."""
-    index = table(spark, sf, "postings").select(F.lower("trigram").alias("trigram"), F.xxhash64("stream_id", "document_id").alias("no"))
-    return trigram.bitmaps(index, F.col("no").bitwiseAND(F.lit((1 << 62) - 1))).groupBy("trigram").agg(F.sum("n").alias("n"))
+    """Posting lists as bitmaps of dense document numbers, counted back per trigram."""
+    return _bitmaps(spark, sf)[0].groupBy("trigram").agg(F.sum("n").alias("n"))
+
+
+_HELD = "SELECT stream_id, document_id FROM (SELECT DISTINCT lower(trigram) AS trigram, stream_id, document_id FROM postings) AS t WHERE trigram IN ('726574', '657472', '747279') GROUP BY 1, 2"
+
+
+@_query(f"{_HELD} HAVING count(*) = 3")
+def trigram_bitmap_and(spark, sf):
+    """Documents that hold every trigram of 'retry', by the bitmaps alone."""
+    bits, numbers = _bitmaps(spark, sf)
+    return numbers.join(trigram.documents_of(bits, ["726574", "657472", "747279"]), "no").select("stream_id", "document_id")
+
+
+@_query(_HELD)
+def trigram_bitmap_or(spark, sf):
+    bits, numbers = _bitmaps(spark, sf)
+    return numbers.join(trigram.documents_of(bits, ["726574", "657472", "747279"], every=False), "no").select("stream_id", "document_id")
+
+
+@_query(f"SELECT a.stream_id, a.document_id, a.position FROM {_POSTED} AS a JOIN {_POSTED} AS b ON a.stream_id = b.stream_id AND a.document_id = b.document_id AND b.position = a.position + 1 WHERE a.trigram = '726574' AND b.trigram = '657472'")
+def trigram_timed_search(spark, sf):
+    """Occurrences of 'retr', searched only in the days in which both trigrams occur."""
+    index = table(spark, sf, "postings").withColumn("trigram", F.lower("trigram"))
+    return trigram.timed_search(index, trigram.time_rollup(index, "day"), "retr", "day")
 
 
 @_query("SELECT lower(trigram) AS trigram, date_trunc('day', make_timestamp((document_id >> 20) * 1000)) AS bucket, count(DISTINCT (stream_id, document_id)) AS n_documents FROM postings GROUP BY 1, 2")
@@ -516,10 +563,10 @@ def blob_list(spark, sf):
 @_query(f"SELECT msg, ts FROM {_LOGS} AS t WHERE {_LABELLED} AND contains(msg, 'retry')")
 def stream_tail(spark, sf):
     """A log written as files and tailed by a streaming query."""
-    path, name = scratch(spark, "tail-wal"), f"tail_{abs(hash(sf)) % 10**8}"
+    path, out = scratch(spark, "tail-wal"), scratch(spark, "tail-found")
     wal.append(_wal(spark, sf).withColumn("d", F.try_parse_json("d")).where("d is not null"), path)
-    ingest.drained(ingest.tail(spark, path, LABELS, TEXT, name, scratch(spark, "tail-state")))
-    return spark.table(name).select("msg", "ts")
+    ingest.drained(ingest.tail(spark, path, LABELS, TEXT, out, scratch(spark, "tail-state")))
+    return spark.read.schema(ingest.TAILED).parquet(out).select("msg", "ts")
 
 
 @_query(f"SELECT stream_id, count(*) AS n, count(DISTINCT msg) AS n_messages FROM {_LOGS} AS t WHERE msg IS NOT NULL GROUP BY stream_id")
@@ -536,7 +583,7 @@ def stream_ids(spark, sf):
     """Ids given by the stateful streaming counter."""
     path, out = scratch(spark, "ids-in"), scratch(spark, "ids-out")
     rows = query.logs(_wal(spark, sf)).where("ts is not null").select("stream_id", F.col("rec_no").alias("seq"), "ts")
-    rows.repartition(1).write.parquet(path)
+    rows.write.parquet(path)
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..functions.labels import stream_id
-from ..operators.query import logs, validated
+from ..functions.labels import labels_match, stream_id
+from ..operators.query import holds, logs, message, timestamp_ms, validated
 from ..sources import wal
 
 #: A batch of records is made durable at least this often.
@@ -32,13 +32,21 @@ def append_stream(documents: DataFrame, path: str, checkpoint: str) -> DataStrea
     return lines.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=FLUSH)
 
 
-def tail(spark: SparkSession, path: str, labels: dict[str, str], text: str, name: str, checkpoint: str) -> DataStreamWriter:
-    """New records of a label set with a text, as they arrive."""
-    from ..functions.labels import labels_match
-    from ..operators.query import holds, message, timestamp_ms
+TAILED = "labels string, msg string, ts bigint"
 
+
+def tail(spark: SparkSession, path: str, labels: dict[str, str], text: str, out: str, checkpoint: str) -> DataStreamWriter:
+    """New records of a label set with a text, as they arrive, written to files below ``out``.
+
+    For a screen, take the records from ``tailed`` to a console or memory sink instead.
+    """
+    return tailed(spark, path, labels, text).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def tailed(spark: SparkSession, path: str, labels: dict[str, str], text: str) -> DataFrame:
+    """(labels, msg, ts) of the records as they arrive."""
     seen = read_records(spark, path).where(F.col("error").isNull() & labels_match(F.col("l"), labels)).withColumns({"msg": message(F.col("d")), "ts": timestamp_ms(F.col("d"))})
-    return seen.where(holds(text)).select(F.to_json("l").alias("labels"), "msg", "ts").writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append")
+    return seen.where(holds(text)).select(F.to_json("l").alias("labels"), "msg", "ts")
 
 
 def compaction(spark: SparkSession, path: str, archive: str, checkpoint: str) -> DataStreamWriter:
