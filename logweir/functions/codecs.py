@@ -36,6 +36,20 @@ def delta_of_delta_decode(df: DataFrame, block: list[str], order: list[str], col
     return first.withColumn(name, wrapping(F.sum("_delta").over(w))).drop("_delta")
 
 
+def tuple_delta(df: DataFrame, block: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``dod_<column>`` for each component of a tuple, restarted in each block."""
+    for c in columns:
+        df = delta_of_delta(df, block, order, c, f"dod_{c}")
+    return df
+
+
+def tuple_delta_decode(df: DataFrame, block: list[str], number: str, columns: list[str]) -> DataFrame:
+    """Inverse of ``tuple_delta``, from the codes and the rows' number in their block alone."""
+    for c in columns:
+        df = delta_of_delta_decode(df, block, [number], f"dod_{c}", c)
+    return df
+
+
 def bit_pack(df: DataFrame, number: Column, flag: Column) -> DataFrame:
     """(byte_no, bits, n_bits): flags packed by eight, the first in the lowest bit; null is false.
 
@@ -68,3 +82,26 @@ def uvarint_size(value: Column) -> Column:
 def varint_size(value: Column) -> Column:
     """Bytes of a signed varint in zigzag form."""
     return uvarint_size(zigzag(value.cast("bigint")))
+
+
+def uvarint_bytes(value: Column) -> Column:
+    """Unsigned base-128 varint of a long: seven bits a byte, the lowest first, the high bit says that more follow."""
+    n = uvarint_size(value)
+    each = lambda i: F.call_function("shiftrightunsigned", value, (i * 7).cast("int")).bitwiseAND(F.lit(127)) + F.when(i < n - 1, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(each(i)), 2, "0")), ""))
+
+
+def varint_bytes(value: Column) -> Column:
+    """Signed varint in zigzag form."""
+    return uvarint_bytes(zigzag(value.cast("bigint")))
+
+
+def bit_pack_bytes(flags: Column) -> Column:
+    """An array of flags as bytes: their number as an unsigned varint, then eight a byte, the first lowest.
+
+    An empty array has no byte, a null flag is false, a null array stays null.
+    """
+    n = F.size(flags)
+    byte = lambda i: F.aggregate(F.slice(flags, i * 8 + 1, F.lit(8)), F.struct(F.lit(0).alias("b"), F.lit(1).alias("w")), lambda now, f: F.struct((now["b"] + F.when(f, now["w"]).otherwise(0)).alias("b"), (now["w"] * 2).alias("w")))["b"]
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 8).cast("int")), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+    return F.when(n > 0, F.concat(uvarint_bytes(n.cast("bigint")), body)).when(n == 0, F.unhex(F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, ids
+from ..functions import codecs, ids, results
 from ..functions.labels import label_text, stream_id
 from ..functions.jsonvals import exploded, json_type, text_type
 from ..operators import archive, query, queue, skew, trigram
@@ -234,25 +234,43 @@ def archive_blocks(spark, sf):
     return archive.block_summary(_wal(spark, sf), "stream_id", ["rec_no"], "rec_no")
 
 
-@_query("SELECT rec_no AS _id, stream_id, json_extract_string(d, '$.msg') AS msg, try_cast(json_extract_string(d, '$.shard') AS DOUBLE) AS shard, try_cast(json_extract_string(d, '$.cpu') AS DOUBLE) AS cpu FROM wal_records WHERE json_valid(d)")
+_ALL_FIELDS = """(SELECT rec_no, key AS col_key, json_type(d, '$."' || key || '"') AS t, json_extract_string(d, '$."' || key || '"') AS text FROM (SELECT rec_no, d, unnest(json_keys(d)) AS key FROM wal_records WHERE json_valid(d)) AS k)"""
+
+
+def _typed_rows(spark, sf) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """All documents as rows of all their columns, each of the type that holds its values."""
+    columns = sorted((r["col_key"], r["col_type"]) for r in archive.infer_columns(_wal(spark, sf), []).collect())
+    docs = _wal(spark, sf).withColumn("doc", F.try_parse_json("d")).where("doc is not null").withColumn("_id", F.col("rec_no"))
+    return archive.projected(docs, columns, ["_id", "stream_id"]), columns
+
+
+def _field_rows(rows: DataFrame, ident: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """(rec_no, col_key, value, number): every field, texts and flags as text, numbers as double."""
+    field = lambda k, t: F.struct(F.lit(k).alias("col_key"), (F.lit(None).cast("string") if t in ("int64", "float64") else F.col(f"`{k}`").cast("string")).alias("value"), (F.col(f"`{k}`").cast("double") if t in ("int64", "float64") else F.lit(None).cast("double")).alias("number"))
+    each = rows.select(F.col(ident).alias("rec_no"), F.explode(F.array(*[field(k, t) for k, t in columns])).alias("f")).select("rec_no", "f.*")
+    return each.where("value is not null or number is not null")
+
+
+_FIELD_SQL = f"""
+    SELECT rec_no, col_key, CASE WHEN col_type IN ('string', 'bool') THEN text END AS value, CASE WHEN col_type IN ('int64', 'float64') THEN CAST(text AS DOUBLE) END AS number
+    FROM {_ALL_FIELDS} AS f JOIN (SELECT col_key, {WIDER} AS col_type FROM {TYPED} AS t GROUP BY col_key) AS c USING (col_key) WHERE t <> 'NULL'"""
+
+
+@_query(_FIELD_SQL)
 def archive_roundtrip(spark, sf):
-    """Documents as typed columns, written to the streams' folders and read again."""
+    """All fields of all documents as typed columns, written to the streams' folders and read again."""
     path = scratch(spark, "archive")
-    docs = _wal(spark, sf).withColumn("doc", F.try_parse_json("d")).where("doc is not null").withColumn("_id", F.col("rec_no"))
-    # in the whole table shard and cpu also hold texts, so their least common type is string
-    rows = archive.projected(docs, [("msg", "string"), ("shard", "string"), ("cpu", "string")], ["_id", "stream_id"])
+    rows, columns = _typed_rows(spark, sf)
     archive.write_archive(rows, path, bloom=["_id"])
-    back = archive.read_archive(spark, path)
-    return back.select("_id", F.col("stream_id").cast("bigint").alias("stream_id"), "msg", F.col("shard").try_cast("double").alias("shard"), F.col("cpu").try_cast("double").alias("cpu"))
+    return _field_rows(archive.read_archive(spark, path, rows.schema), "_id", columns)
 
 
-@_query("SELECT rec_no, json_extract_string(d, '$.msg') AS msg, json_extract_string(d, '$.tenant') AS tenant FROM wal_records WHERE json_valid(d)")
+@_query(_FIELD_SQL)
 def row_to_document(spark, sf):
-    """Rows made documents and read as rows again."""
-    docs = _wal(spark, sf).withColumn("doc", F.try_parse_json("d")).where("doc is not null")
-    rows = archive.projected(docs, [("msg", "string"), ("tenant", "string")], ["rec_no"])
-    out = archive.row_to_document(rows, ["msg", "tenant"])
-    return out.select("rec_no", F.get_json_object("document", "$.msg").alias("msg"), F.get_json_object("document", "$.tenant").alias("tenant"))
+    """Rows made documents and read as rows again, with all their fields."""
+    rows, columns = _typed_rows(spark, sf)
+    out = archive.row_to_document(rows, [k for k, _ in columns]).select("_id", F.parse_json("document").alias("doc"))
+    return _field_rows(archive.projected(out, columns, ["_id"]), "_id", columns)
 
 
 @_query("SELECT rec_no, stream_id, NULL::BIGINT AS document_id, d AS document FROM wal_records UNION ALL SELECT NULL, stream_id, document_id, document FROM query_results")
@@ -446,19 +464,34 @@ def delta_of_delta_decode(spark, sf):
 _POST_BLOCK = f"(SELECT *, (row_number() OVER (PARTITION BY trigram ORDER BY document_id, stream_id, position) - 1) // 1024 AS block_no FROM {_POSTED} AS t)"
 
 
-@_query(f"""
-    SELECT trigram, document_id, stream_id, position,
-           document_id::HUGEINT - 2 * lag(document_id, 1, 0) OVER w::HUGEINT + lag(document_id, 2, 0) OVER w AS raw_document, CAST(position - 2 * lag(position, 1, 0) OVER w + lag(position, 2, 0) OVER w AS BIGINT) AS dod_position
-    FROM {_POST_BLOCK} AS b WINDOW w AS (PARTITION BY trigram, block_no ORDER BY document_id, stream_id, position)""".replace("document_id::HUGEINT - 2 * lag(document_id, 1, 0) OVER w::HUGEINT + lag(document_id, 2, 0) OVER w AS raw_document", "CAST(document_id::HUGEINT - 2 * CAST(lag(document_id, 1, 0) OVER w AS HUGEINT) + CAST(lag(document_id, 2, 0) OVER w AS HUGEINT) AS BIGINT) AS dod_document"))
+_TUPLE = ["document_id", "stream_id", "position"]
+
+
+def _second(c: str) -> str:
+    """Second difference of a column in 128 bits, brought back into 64 as two's complement does."""
+    wide = lambda x: f"CAST({x} AS HUGEINT)"
+    raw = f"({wide(c)} - 2 * {wide(f'lag({c}, 1, 0) OVER w')} + {wide(f'lag({c}, 2, 0) OVER w')})"
+    return f"CAST((({raw} % 18446744073709551616 + 18446744073709551616 + 9223372036854775808) % 18446744073709551616) - 9223372036854775808 AS BIGINT) AS dod_{c}"
+
+
+def _posting_blocks(spark, sf) -> DataFrame:
+    index = table(spark, sf, "postings").withColumn("trigram", F.lower("trigram")).distinct()
+    placed = skew.pieces(index, "trigram", _TUPLE, "posting-blocks")
+    return skew.numbered(placed, "trigram", _TUPLE, codecs.POSTING_BLOCK).withColumnRenamed(skew.CHUNK, "block_no")
+
+
+@_query(f"SELECT trigram, document_id, stream_id, position, {', '.join(map(_second, _TUPLE))} FROM {_POST_BLOCK} AS b WINDOW w AS (PARTITION BY trigram, block_no ORDER BY document_id, stream_id, position)")
 def posting_delta(spark, sf):
     """Posting tuples coded per component inside blocks of 1024."""
-    index = table(spark, sf, "postings").withColumn("trigram", F.lower("trigram")).distinct()
-    order = ["document_id", "stream_id", "position"]
-    placed = skew.pieces(index, "trigram", order, "posting-blocks")
-    blocks = skew.numbered(placed, "trigram", order, codecs.POSTING_BLOCK).withColumnRenamed(skew.CHUNK, "block_no")
-    coded = codecs.delta_of_delta(blocks, ["trigram", "block_no"], order, "document_id", "dod_document")
-    coded = codecs.delta_of_delta(coded, ["trigram", "block_no"], order, "position", "dod_position")
-    return coded.select("trigram", *order, "dod_document", "dod_position")
+    coded = codecs.tuple_delta(_posting_blocks(spark, sf), ["trigram", "block_no"], _TUPLE, _TUPLE)
+    return coded.select("trigram", *_TUPLE, *[f"dod_{c}" for c in _TUPLE])
+
+
+@_query(f"SELECT trigram, document_id, stream_id, position FROM {_POSTED} AS t")
+def posting_delta_decode(spark, sf):
+    """Postings out of their codes."""
+    coded = codecs.tuple_delta(_posting_blocks(spark, sf), ["trigram", "block_no"], _TUPLE, _TUPLE).drop(*_TUPLE)
+    return codecs.tuple_delta_decode(coded, ["trigram", "block_no"], skew.ROW, _TUPLE).select("trigram", *_TUPLE)
 
 
 @_query("SELECT event_id // 8 AS byte_no, CAST(sum(CASE WHEN value > 5 THEN 1 << (event_id % 8) ELSE 0 END) AS INT) AS bits, count(*) AS n_bits FROM events GROUP BY 1")
@@ -476,6 +509,45 @@ def varint_size(spark, sf):
     return table(spark, sf, "events").select("event_id", codecs.varint_size((F.col("event_id") - 5000) * 1000003 + 1).alias("n_bytes"))
 
 
+@_query("""
+    SELECT event_id, array_to_string(list_transform(range(n), lambda i: printf('%02X', CAST(((z >> CAST(7 * i AS INT)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END AS INT))), '') AS bytes
+    FROM (SELECT event_id, z, CAST(ceil(length(ltrim(bin(z), '0')) / 7.0) AS BIGINT) AS n FROM (SELECT event_id, CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS z FROM (SELECT event_id, (event_id - 5000) * 1000003 + 1 AS v FROM events) AS t) AS u) AS w""")
+def varint_bytes(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.hex(codecs.varint_bytes((F.col("event_id") - 5000) * 1000003 + 1)).alias("bytes"))
+
+
+@_query("""
+    SELECT block_no, printf('%02X', CAST(n AS INT)) || array_to_string(list_transform(range(CAST(ceil(n / 8.0) AS BIGINT)), lambda i: printf('%02X', CAST(list_sum(list_transform(range(8), lambda k: CASE WHEN coalesce(f[8 * i + k + 1], false) THEN 1 << CAST(k AS INT) ELSE 0 END)) AS INT))), '') AS bytes
+    FROM (SELECT event_id // 100 AS block_no, list(value > 5 ORDER BY event_id) AS f, count(*) AS n FROM events GROUP BY 1) AS t""")
+def bit_pack_bytes(spark, sf):
+    """Flags of blocks of 100 as bytes, with their number first."""
+    each = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100).alias("block_no")).agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") > 5).alias("f")))).alias("e"))
+    return each.select("block_no", F.hex(codecs.bit_pack_bytes(F.transform("e", lambda e: e["f"]))).alias("bytes"))
+
+
+@_query(f"SELECT rec_no, coalesce(CASE WHEN json_valid(d) THEN 'read' END, 'line is no record') AS said, CASE WHEN json_valid(d) THEN length(d) ELSE 0 END AS n FROM wal_records WHERE d IS NOT NULL")
+def result_columns(spark, sf):
+    """Documents as results: what is read, and what is said of the others."""
+    doc = F.try_parse_json("d")
+    rows = _wal(spark, sf).where("d is not null").select("rec_no", F.when(doc.isNotNull(), F.length("d").cast("bigint")).alias("value"), F.when(doc.isNull(), F.lit(wal.RECORD_ERROR)).alias("error"))
+    value, error = F.col("value"), F.col("error")
+    return rows.select("rec_no", results.unwrap_or(F.lit("read"), error, error).alias("said"), results.unwrap_or(value, error, F.lit(0)).alias("n"))
+
+
+@_query()
+def compression_ratio(spark, sf):
+    """Bytes of the documents as text and as a stored archive, and the share of the latter in percent."""
+    documents = _wal(spark, sf)
+    path = scratch(spark, "ratio")
+    columns = [(r["col_key"], r["col_type"]) for r in archive.infer_columns(documents, []).collect()]
+    docs = documents.withColumn("doc", F.try_parse_json("d")).where("doc is not null").withColumn("_id", F.col("rec_no"))
+    archive.projected(docs, columns, ["_id", "stream_id"]).repartitionByRange("stream_id", "_id").sortWithinPartitions("stream_id", "_id").write.option("compression", "zstd").parquet(path)
+    stored = blobs.listed(spark, path, ".parquet").agg(F.sum("size_bytes").alias("stored_bytes"))
+    raw = documents.agg(F.sum(F.octet_length("d")).alias("raw_bytes"))
+    both = raw.withColumn("k", F.lit(1)).join(stored.withColumn("k", F.lit(1)), "k")
+    return both.select("raw_bytes", "stored_bytes", (100 * F.col("stored_bytes") / F.col("raw_bytes")).alias("percent"))
+
+
 @_query("SELECT stream_id, sum(strlen(d)) AS raw_bytes, count(*) AS n_rows FROM wal_records GROUP BY stream_id")
 def size_by_stream(spark, sf):
     return _wal(spark, sf).groupBy("stream_id").agg(F.sum(F.octet_length("d")).alias("raw_bytes"), F.count(F.lit(1)).alias("n_rows"))
