@@ -1,4 +1,4 @@
-"""Queries of control data on a bucket: its objects, and the job queue at work. Each has its SQL."""
+"""Queries of objects on a bucket, of the job queue and of the database at work. Each has its SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..db import LogDB
+from ..functions.ids import id_ms
 from ..operators import jobqueue, queue
+from ..operators.query import message, timestamp_ms
 from ..session import scratch, table
-from ..sources import blobs
-from .core import FILES, FREE, JOB, NOW, queries_of
+from ..sources import blobs, wal
+from ..streaming import ingest
+from .core import FILES, FREE, JOB, NOW, WIDER, queries_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,3 +146,65 @@ def queue_recover(spark, sf):
         return into
 
     return _halves(spark, sf, begin)
+
+
+_VALID = """json_valid(d) AND json_type(d, '$.msg') = 'VARCHAR' AND json_type(d, '$.ts') IN ('BIGINT', 'UBIGINT') AND json_type(d, '$._id') IS NULL"""
+_DOCUMENTS = f"(SELECT rec_no, stream_id, d, json_extract_string(d, '$.msg') AS msg, CAST(json_extract_string(d, '$.ts') AS BIGINT) AS ts FROM wal_records WHERE {_VALID})"
+
+
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "wal_records").select("l", F.try_parse_json("d").alias("doc")).where("doc is not null")
+
+
+def _database(spark: SparkSession, sf: str) -> LogDB:
+    db = LogDB(spark, scratch(spark, "db"))
+    db.add_documents(_documents(spark, sf))
+    db.compact()
+    return db
+
+
+@_query(f"SELECT stream_id, ts, msg FROM {_DOCUMENTS} AS t")
+def db_archive(spark, sf):
+    """Documents of the log after they were moved into the archive, with the time of their ids."""
+    return _database(spark, sf).archive.read().select("stream_id", id_ms(F.col("_id")).alias("ts"), "msg")
+
+
+@_query(f"""SELECT key AS col_key, {WIDER} AS col_type FROM (
+    SELECT key, CASE t WHEN 'BIGINT' THEN 'int64' WHEN 'UBIGINT' THEN 'int64' WHEN 'DOUBLE' THEN 'float64' WHEN 'BOOLEAN' THEN 'bool' ELSE 'string' END AS kind
+    FROM (SELECT key, json_type(d, '$."' || key || '"') AS t FROM (SELECT d, unnest(json_keys(d)) AS key FROM {_DOCUMENTS} AS e) AS k) AS f WHERE t <> 'NULL' AND key NOT IN ('msg', 'ts')) AS u GROUP BY key""")
+def db_columns(spark, sf):
+    """Columns of the archive, by the types its segments hold."""
+    return _database(spark, sf).columns()
+
+
+@_query(f"SELECT stream_id, ts, msg FROM {_DOCUMENTS} AS t WHERE contains(msg, 'retry')")
+def db_search(spark, sf):
+    """Documents that the database's index finds."""
+    db = _database(spark, sf)
+    db.index()
+    return db.search("retry").select("stream_id", id_ms(F.col("_id")).alias("ts"), "msg")
+
+
+@_query(f"SELECT stream_id, msg FROM {_DOCUMENTS} AS t WHERE ts % 7 = 0")
+def db_get(spark, sf):
+    """Documents of every seventh millisecond, fetched by stream and id and read from their JSON."""
+    db = _database(spark, sf)
+    wanted = db.archive.read().where(id_ms(F.col("_id")) % 7 == 0).select("stream_id", "_id")
+    return db.get(wanted).select("stream_id", F.get_json_object("document", "$.msg").alias("msg"))
+
+
+@_query(f"SELECT stream_id, count(*) AS n_documents, max(ts) AS last_ms FROM {_DOCUMENTS} AS t GROUP BY 1")
+def recover_last_ids(spark, sf):
+    """Where each stream's counter goes on when the database is opened again."""
+    return _database(spark, sf).last_ids().select("stream_id", "n_documents", id_ms(F.col("last_id")).alias("last_ms"))
+
+
+@_query(f"SELECT msg, ts FROM {_DOCUMENTS} AS t")
+def stream_append(spark, sf):
+    """Documents appended to the log by a stream: only valid ones, each batch whole."""
+    source, path = scratch(spark, "append-in"), scratch(spark, "append-wal")
+    _documents(spark, sf).select("l", F.to_json("doc").alias("d")).write.parquet(source)
+    seen = spark.readStream.schema("l map<string,string>, d string").option("maxFilesPerTrigger", 2).parquet(source)
+    ingest.drained(ingest.append_stream(seen.select("l", F.try_parse_json("d").alias("doc")), path, scratch(spark, "append-state")))
+    back = wal.scan(spark, path)
+    return back.select(message(F.col("d")).alias("msg"), timestamp_ms(F.col("d")).alias("ts"))

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from logweir.db import IngestError, LogDB
 from logweir.functions import codecs, ids
 from logweir.functions.labels import label_text, labels_match, stream_id
-from logweir.operators import archive, query, queue, trigram
+from logweir.operators import archive, query, queue, segments, trigram
 from logweir.sources import blobs, wal
 
 LABELS = "l map<string,string>"
@@ -240,3 +242,39 @@ def test_database(spark, tmp_path):
     assert {r["msg"] for r in found} == {"Ciao, Mondo!", "Ciao ciao!"} and {r["stream_id"] for r in found} == {fnv("streamexample2")}
     db.index()
     assert db.search("Ciao").count() == 2 and db.search("Mo").count() == 1 and db.search("Hello").count() == 10
+
+
+def test_database_archives_levels_and_index(spark, tmp_path):
+    db = LogDB(spark, f"file://{tmp_path}/db")
+    assert db.compact() == 0 and db.index() == 0 and db.search("any").count() == 0 and db.get([1]).count() == 0
+    for turn in range(3):
+        value = [1, 2.5, "x"][turn]
+        db.add({"app": "a"}, [json.dumps({"msg": f"turn {turn} number {i}", "ts": 1000 + i, "v": value, "ok": True, "o": {"k": 1}, "none": None}) for i in range(5)])
+        db.add({"app": "b"}, ['{"msg":"Ciao","ts":7}'])
+        assert db.query({}, "").count() == 6 * (turn + 1)
+        assert db.compact() == 6 and db.compact() == 0 and db.index(flush=False) == 0
+    assert db.query({"app": "a"}, "turn 1").count() == 5 and db.query({}, "").count() == 18
+    assert {(r["col_key"], r["col_type"]) for r in db.columns({"app": "a"}).collect()} == {("v", "string"), ("ok", "bool"), ("o", "string")}
+    last = {r["stream_id"]: (r["n_documents"], r["last_id"]) for r in db.last_ids().collect()}
+    assert last[fnv("appb")] == (3, (7 << 20) + 3) and last[fnv("appa")][0] == 15
+    got = db.get([(1000 << 20) + 1, (1000 << 20) + 6, 5], {"app": "a"}).collect()
+    assert {r["_id"]: json.loads(r["document"])["v"] for r in got} == {(1000 << 20) + 1: 1, (1000 << 20) + 6: 2.5}
+    assert json.loads(got[0]["document"]).keys() == {"msg", "ts", "v", "ok", "o"}
+    keys = spark.createDataFrame([(fnv("appb"), (7 << 20) + 1), (fnv("appa"), (7 << 20) + 2)], "stream_id bigint, _id bigint")
+    assert [r["_id"] for r in db.get(keys).collect()] == [(7 << 20) + 1]
+    assert db.index() == 18 and db.index() == 0 and db.search("turn 2").count() == 5 and db.search("Ci").count() == 3
+
+
+def test_database_merges_small_log_files_and_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments.Segments.__init__, "__defaults__", (2,))
+    db = LogDB(spark, f"file://{tmp_path}/db")
+    for i in range(4):
+        db.add({"app": "a"}, [f'{{"msg":"number {i}","ts":{i}}}'] * 3)
+    assert db.merge_log() >= 1 and db.merge_log() == 0 and db.query({}, "").count() == 12
+    for i in range(4):
+        db.add({"app": "a"}, [f'{{"msg":"late {i}","ts":{i}}}'])
+        db.compact(), db.index()
+    assert db.level() >= 4 and db.level() == 0
+    assert len(db.archive.live()) < 5 and len(db.segments.live()) < 4
+    assert db.query({}, "").count() == 16 and db.search("late").count() == 4 and db.search("number").count() == 12
+    assert db.archive.vacuum() > 0 and db.segments.vacuum() > 0 and db.query({}, "").count() == 16 and db.search("late 3").count() == 1
