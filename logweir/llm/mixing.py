@@ -7,10 +7,11 @@ text's expected number of copies is its cell's weight: the whole part is taken f
 rest by a number derived from the row alone, so a lost task repeats the same choice. The
 probabilities of each source are scaled so that its tokens come out as near as single texts allow.
 
-Cells are bounded: sources come from the targets, languages are two letters, topics a fixed list.
+Cells are bounded: sources come from the targets, languages are two letters, topics are as many as
+the topic model has (``topics``), which is learned from all chosen sources' texts.
 
 Defined results: a source is compared in lower case without blanks, hyphens or underscores; a text
-of no or an unknown source is never chosen; an unknown language is 'und', a text naming no topic
+of no or an unknown source is never chosen; an unknown language is 'und', a text of no topic
 'general'; an empty text has no tokens and is taken as its cell says; a target without any text
 is reported with share 0 and the others are scaled; targets that are null, negative or zero and
 repeats below 1 give nothing. Repeated rows draw the same number.
@@ -18,14 +19,13 @@ repeats below 1 give nothing. Repeated rows draw the same number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .tokens import DEFAULT_TOKENIZER, n_tokens
+from .tokens import DEFAULT_TOKENIZER
+from .topics import encoded, with_topics
 
-# The subsystems that the texts are about.
-TOPICS = ["wal", "archive", "stream", "trigram", "queue", "blob", "cache", "lease", "label", "query", "split"]
 ROUNDS = 200
 #: Numbers that decide the rest are multiples of this.
 GRAIN = 1 << 30
@@ -37,13 +37,6 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"[\s_-]+", "")
 
 
-def topic(text: Column) -> Column:
-    """The topic whose word is most frequent; of equals the first of TOPICS."""
-    counts = [F.struct(F.coalesce(F.regexp_count(text, F.lit(rf"(?i)\b{t}s?\b")), F.lit(0)).alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("name")) for i, t in enumerate(TOPICS)]
-    best = F.array_max(F.array(*counts))
-    return F.when(best["n"] > 0, best["name"]).otherwise("general")
-
-
 def sized(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """Texts of wanted sources with cell and length, written: the text itself is read once."""
     wanted = targets.where("source is not null and target_share > 0 and max_repeats >= 1").select(F.col("source").alias("to_source"), plain_name(F.col("source")).alias("plain"), "max_repeats").dropDuplicates(["plain"])
@@ -52,11 +45,13 @@ def sized(documents: DataFrame, targets: DataFrame, ident: str = "doc_id", token
         F.col(ident),
         plain_name(F.col("source")).alias("plain"),
         F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise("und").alias("lang"),
-        topic(F.col("text")).alias("topic"),
-        n_tokens(F.col("text"), tokenizer).alias("n_tokens"),
         F.pmod(F.xxhash64(F.lit("mix"), ident, "text"), F.lit(GRAIN)).alias("draw"),
+        "text",
     )
-    return written(rows.join(F.broadcast(wanted), "plain").drop("plain").withColumnRenamed("to_source", "source"), "mix-sized")
+    # the targets are few: a source's name and limits
+    named = rows.join(F.broadcast(wanted), "plain").drop("plain").withColumnRenamed("to_source", "source")
+    read = written(encoded(named, "text", [ident, "source", "lang", "draw", "max_repeats"], tokenizer), "mix-tokens")
+    return written(with_topics(read, tokenizer), "mix-sized")
 
 
 def rake(cells: list[dict], shares: dict[str, float], total: float | None = None) -> list[float]:
@@ -136,9 +131,33 @@ def calibrated(sums: list[dict]) -> dict[str, int]:
     return out
 
 
-def share_report(chosen: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: tokens of the mixture and the share reached."""
+def share_report(chosen: DataFrame, targets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Per target: tokens of the mixture, the share reached, and with ``rows`` of ``sized`` what there was of it.
+
+    ``is_binding`` is the source whose tokens, at its repeats, allow the smallest mixture: it
+    decides the mixture's size unless a total is given.
+    """
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("repeats").alias("most_repeats"))
     total = got.agg(F.sum("mixed_tokens")).collect()[0][0] or 0
     out = targets.join(got, "source", "left").fillna({"mixed_tokens": 0, "n_texts": 0, "most_repeats": 0})
-    return out.withColumn("share", F.col("mixed_tokens") / F.lit(max(total, 1)))
+    out = out.withColumn("share", F.col("mixed_tokens") / F.lit(max(total, 1)))
+    if rows is None:
+        return out
+    have = rows.groupBy("source").agg(F.sum("n_tokens").alias("own_tokens")).where("own_tokens > 0")
+    room = out.join(have, "source", "left").withColumn("room", F.when(F.col("target_share") > 0, F.col("own_tokens") * F.col("max_repeats") / F.col("target_share")))
+    least = room.agg(F.min("room")).collect()[0][0]
+    return room.withColumn("is_binding", F.coalesce(F.col("room") == F.lit(least), F.lit(False))).fillna({"own_tokens": 0}).drop("room")
+
+
+def marginals(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(dim, name, own_share, share) of languages and topics: in the corpus of ``rows``, which is their goal, and in the mixture."""
+
+    def shares(df: DataFrame, tokens: Column, name: str) -> DataFrame:
+        sums = [df.groupBy(F.lit(dim).alias("dim"), F.col(dim).alias("name")).agg(F.sum(tokens).alias("t")) for dim in ("lang", "topic")]
+        every = sums[0].unionAll(sums[1])
+        # some hundred rows at most: the cells are bounded
+        return every.withColumn(name, F.col("t") / F.sum("t").over(Window.partitionBy("dim"))).drop("t")
+
+    own = shares(rows, F.col("n_tokens"), "own_share")
+    got = shares(chosen, F.col("n_tokens") * F.col("repeats"), "share")
+    return own.join(got, ["dim", "name"], "left").fillna({"share": 0.0})

@@ -35,19 +35,27 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All texts of wanted sources, and those chosen."""
     targets = table(spark, sf_dir, "mix_targets")
-    return mixing.mixed(mixing.sized(table(spark, sf_dir, "documents"), targets), targets)
+    rows = mixing.sized(table(spark, sf_dir, "documents"), targets)
+    return rows, mixing.mixed(rows, targets)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen texts with their repeats."""
-    return _mixed(spark, sf_dir).select("doc_id", "source", "lang", "topic", "n_tokens", "repeats")
+    return _mixed(spark, sf_dir)[1].select("doc_id", "source", "lang", "topic", "n_tokens", "repeats")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share that each source reached."""
-    return mixing.share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """The share that each source reached, and which source decides the size."""
+    rows, chosen = _mixed(spark, sf_dir)
+    return mixing.share_report(chosen, table(spark, sf_dir, "mix_targets"), rows)
+
+
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of languages and topics in the texts and in the mixture."""
+    return mixing.marginals(*_mixed(spark, sf_dir))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> tuple[pii.Dictionary, DataFrame]:
@@ -66,7 +74,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(table(spark, sf_dir, "documents"), words, PSEUDONYM_KEY, more=more)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p7_pack, p7_fill, p8_mix, p8_shares, p8_marginals, p9_found, p9_redacted)}
 
 _TERMS = """
     SELECT lower(trigram) AS trigram, count(DISTINCT (stream_id, document_id, position)) AS n_occurrences, count(DISTINCT (stream_id, document_id)) AS n_records

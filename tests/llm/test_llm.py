@@ -10,8 +10,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.llm import mixing, packing, pii, queries, terms, tokens
-from logweir.session import table
+from logweir.llm import mixing, packing, pii, queries, terms, tokens, topics
+from logweir.session import table, written
 
 # --- terms
 
@@ -88,6 +88,16 @@ def test_packing_of_the_test_data(spark, sf):
     assert all(r["unused_share"] < 0.25 for r in packing.fill_report(pieces).collect())
 
 
+def test_quick_tokens_are_those_of_the_tokenizer(sf):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.DEFAULT_TOKENIZER)
+    plain.encode_special_tokens = True
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    texts += ["", " ", " " * 50_000, "x" * 20_000, "a1" * 9_000, "é ü\u00a0\u2003 \n\n\t x", "<|endoftext|> it's we'LL", "日本語 🙂🙂", "\x00\x1b[0m", "_a__b -- ¿?"]
+    assert tokens.encoder(tokens.DEFAULT_TOKENIZER)(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- mixing
 
 DOCS = "doc_id bigint, source string, lang string, text string, max_repeats string"
@@ -117,6 +127,33 @@ def test_mixing(spark):
     assert empty.count() == 0 and mixing.share_report(empty, targets).count() == 7
 
 
+def test_topics_are_words_that_stand_together(spark):
+    rng = random.Random(4)
+    groups = [["queue", "lease", "worker", "producer"], ["trigram", "posting", "segment", "dictionary"], ["coffee", "kitchen", "garden", "weather"]]
+    texts = [(i, " " + " ".join(rng.choice(groups[i % 3]) for _ in range(12)), i % 3) for i in range(300)] + [(999, "", None), (998, None, None), (997, "12 + 5", None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, kind int").repartition(3)
+    rows = written(topics.encoded(docs, "text", ["doc_id", "kind"]), "t")
+    common, topics.COMMON = topics.COMMON, 0.5
+    try:
+        got = topics.with_topics(rows, topics=3).collect()
+    finally:
+        topics.COMMON = common
+    found = {k: Counter(r["topic"] for r in got if r["kind"] == k) for k in range(3)}
+    assert all(c.most_common(1)[0][1] >= 95 for c in found.values()) and len({c.most_common(1)[0][0] for c in found.values()}) == 3
+    assert {r["topic"] for r in got if r["kind"] is None} == {"general"} and {r["n_tokens"] for r in got if r["doc_id"] in (999, 998)} == {0}
+    assert {r["topic"] for r in topics.with_topics(rows.limit(0)).collect()} == set()
+
+
+def test_marginals_and_the_binding_source_are_reported(spark, sf):
+    targets = table(spark, sf, "mix_targets")
+    rows = mixing.sized(table(spark, sf, "documents"), targets)
+    chosen = mixing.mixed(rows, targets)
+    out = mixing.marginals(rows, chosen).collect()
+    for dim in ("lang", "topic"):
+        assert abs(sum(r["own_share"] for r in out if r["dim"] == dim) - 1) < 1e-9 and abs(sum(r["share"] for r in out if r["dim"] == dim) - 1) < 1e-9
+    assert sum(r["is_binding"] for r in mixing.share_report(chosen, targets, rows).collect()) == 1
+
+
 def test_rake_meets_marginals():
     rng = random.Random(2)
     cells = [{"source": s, "lang": g, "topic": t, "tokens": rng.randrange(100, 1000), "cap": 5} for s in "ab" for g in ("en", "it") for t in ("x", "y")]
