@@ -23,6 +23,7 @@ from ..session import scratch, written
 from ..sources.blobs import listed
 from ..sources.files import open_input, resolve
 from ..sources.parquet_blocks import FILE_ROWS, BlockWriter, blocks_of, read_footer, schema_key
+from .dedup import BLOCK, file_number, tasks, units
 
 FOOTERS = "path string, size bigint, schema_key string, n_blocks bigint, n_rows bigint"
 #: Files whose sizes are summed in one ordered window at most, on average.
@@ -118,7 +119,7 @@ def wal_records(objects: DataFrame) -> DataFrame:
     A line that is no JSON, an empty line and a null object hold no record. A readable line
     without stream or _id is a record without key, told apart by its text alone.
     """
-    lines = objects.where(F.col("obj_key").startswith("wal/")).select("obj_key", "modified_at", F.posexplode(F.split("raw", "\r?\n")).alias("line", "body"))
+    lines = objects.where(F.col("obj_key").startswith("wal/")).select("obj_key", "modified_at", "spot", F.posexplode(F.split("raw", "\r?\n")).alias("line", "body"))
     read = lines.where(F.trim("body") != "").withColumn("v", F.try_parse_json("body")).where("v is not null")
     stream, ident = F.try_variant_get("v", "$.l.stream", "string"), F.try_variant_get("v", "$.d._id", "string")
     known = stream.isNotNull() & ident.rlike(r"^-?\d+$")
@@ -127,34 +128,94 @@ def wal_records(objects: DataFrame) -> DataFrame:
         F.when(known, stream).alias("stream_name"),
         F.when(known, F.regexp_replace(ident, r"^(-?)0+(?=\d)", "$1")).alias("rec_key"),
         "body",
-        F.struct("modified_at", "obj_key", "line").alias("version"),
+        F.struct("modified_at", "obj_key", "line", "spot").alias("version"),
     )
 
 
 def queue_records(objects: DataFrame) -> DataFrame:
     """Jobs of queue files, as ``wal_records``; a file that is no JSON holds none."""
-    files = objects.where(F.col("obj_key").startswith("queue/")).select("obj_key", "modified_at", F.try_parse_json("raw").alias("v"))
+    files = objects.where(F.col("obj_key").startswith("queue/")).select("obj_key", "modified_at", "spot", F.try_parse_json("raw").alias("v"))
     jobs = F.try_variant_get("v", "$.jobs", "array<variant>")
-    each = files.select("obj_key", "modified_at", F.posexplode(jobs).alias("line", "job"))
+    each = files.select("obj_key", "modified_at", "spot", F.posexplode(jobs).alias("line", "job"))
     ident = F.try_variant_get("job", "$.id", "string")
     return each.select(
         F.lit("queue").alias("obj_kind"),
         F.lit("").alias("stream_name"),
         F.lower(F.regexp_replace(ident, r"[\s{}-]", "")).alias("rec_key"),
         F.to_json("job").alias("body"),
-        F.struct("modified_at", "obj_key", "line").alias("version"),
+        F.struct("modified_at", "obj_key", "line", "spot").alias("version"),
     )
 
 
-def once(records: DataFrame) -> DataFrame:
-    """Each record once, as last written; combined before the shuffle, so copies stay local."""
-    keyless = F.when(F.col("rec_key").isNull(), F.xxhash64("body"))
-    best = records.groupBy("obj_kind", "stream_name", "rec_key", keyless.alias("text_hash"), F.when(F.col("rec_key").isNull(), F.col("body")).alias("text")).agg(
-        F.max(F.struct("version", "body")).alias("best")
-    )
-    return best.select("obj_kind", "stream_name", "rec_key", F.col("best.body").alias("body"), F.col("best.version.obj_key").alias("obj_key"), F.col("best.version.line").alias("line"))
+def winners(records: DataFrame) -> DataFrame:
+    """Each record once, as last written, by its place: (spot, line, obj_kind, stream_name, rec_key).
+
+    Bodies stay where they are: a record without key is told apart by a 256-bit hash of its text.
+    Combined before the shuffle, so copies stay local.
+    """
+    keyless = F.when(F.col("rec_key").isNull(), F.sha2("body", 256))
+    best = records.groupBy("obj_kind", "stream_name", "rec_key", keyless.alias("text_hash")).agg(F.max("version").alias("best"))
+    return best.select("best.spot", "best.line", "obj_kind", "stream_name", "rec_key")
+
+
+RECORDS = "obj_kind string, stream_name string, rec_key string, body string, obj_key string, line int"
+
+
+def _bodies(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """The winning records with their bodies: each task reads one row group with the places of its winners."""
+    block = F.floor(F.col("spot.row") / BLOCK)
+    places = found.select(F.col("spot.file").alias("file"), block.alias("block"), F.struct(F.col("spot.row").alias("row"), "line", "obj_kind", "stream_name", "rec_key").alias("at"))
+    lists = places.groupBy("file", "block").agg(F.collect_list("at").alias("at"))
+    work = units(spark, path).join(lists, ["file", "block"]).groupBy("path", "row_group", "first", "n").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+        import re
+
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for unit in batch.to_pylist():
+                first, by_row = unit["first"], {}
+                for a in unit["at"]:
+                    if first <= a["row"] < first + unit["n"]:
+                        by_row.setdefault(a["row"] - first, []).append(a)
+                with open_input(unit["path"]) as f:
+                    at = 0
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=1024, row_groups=[unit["row_group"]], columns=["obj_key", "raw"]):
+                        out = []
+                        for i in range(len(part)):
+                            wanted = by_row.get(at + i)
+                            if not wanted:
+                                continue
+                            key, raw = part.column("obj_key")[i].as_py(), part.column("raw")[i].as_py()
+                            jobs = wanted[0]["obj_kind"] == "queue"
+                            parts = json.loads(raw)["jobs"] if jobs else re.split("\r?\n", raw)
+                            for a in wanted:
+                                body = parts[a["line"]]
+                                out.append((a["obj_kind"], a["stream_name"], a["rec_key"], json.dumps(body, ensure_ascii=False, separators=(",", ":")) if jobs else body, key, a["line"]))
+                        at += len(part)
+                        if out:
+                            kinds = [pa.string()] * 5 + [pa.int32()]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["obj_kind", "stream_name", "rec_key", "body", "obj_key", "line"])
+
+    return work.repartition(tasks(spark), "path", "row_group").mapInArrow(read, RECORDS)
 
 
 def consolidated_objects(objects: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
-    """The records of a bucket's small objects, each exactly once, out of consolidated files."""
-    return consolidate(once(wal_records(objects).unionAll(queue_records(objects))), "objects", target_bytes)
+    """As ``consolidated_files``, of objects that are in no Parquet files yet."""
+    spark = objects.sparkSession
+    path = scratch(spark, "raw")
+    objects.select("obj_key", "modified_at", "raw").write.option("compression", "zstd").parquet(path)
+    return consolidated_files(spark, path, target_bytes)
+
+
+def consolidated_files(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> DataFrame:
+    """The records of a bucket's small objects (obj_key, modified_at, raw), each exactly once, out of consolidated files.
+
+    Only keys, versions and places are shuffled; bodies are read where they are.
+    """
+    spot = F.struct(file_number("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    objects = spark.read.parquet(path).select("obj_key", "modified_at", "raw", spot.alias("spot"))
+    found = written(winners(wal_records(objects).unionAll(queue_records(objects))), "winners")
+    return consolidate(_bodies(spark, path, found), "objects", target_bytes)

@@ -39,7 +39,7 @@ def id128(text: Column) -> Column:
     return F.when(bare.rlike("^[0-9a-f]{1,32}$"), F.unhex(F.lpad(bare, 32, "0")))
 
 
-def _file(path: str) -> Column:
+def file_number(path: str) -> Column:
     """Number of a file by its path, which Spark spells with one or three slashes behind file:."""
     return F.xxhash64(F.regexp_replace(path, "^file:/+", "file:///"))
 
@@ -49,7 +49,7 @@ def deletion_vectors(spark: SparkSession, path: str | list[str], ident: Column,
 
     ``file`` is the hash of the path that Spark names, ``kept`` a little-endian bitmap.
     """
-    spot = F.struct(_file("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    spot = F.struct(file_number("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = spark.read.parquet(path).select(ident.alias("id"), *order, spot.alias("spot"))
     at = F.struct(*order, F.col("spot.file").alias("file"), F.col("spot.row").alias("row"))
     winners = rows.groupBy("id", F.when(F.col("id").isNull(), F.col("spot")).alias("alone")).agg(F.min(at).alias("at"))
@@ -57,8 +57,8 @@ def deletion_vectors(spark: SparkSession, path: str | list[str], ident: Column,
     return written(places.groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("kept")), "vectors")
 
 
-def _units(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per row group of each file: what a task reads at once. Only footers are read."""
+def units(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, row_group, first, n, file, block): row groups of each file, what a task reads at once, a row for each block. Only footers are read."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -76,10 +76,11 @@ def _units(spark: SparkSession, path: str | list[str]) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": pa.array(out["path"], pa.string()), **{k: pa.array(out[k], pa.int64()) for k in ("row_group", "first", "n")}})
 
     files = spark.createDataFrame([(p,) for p in spark.read.parquet(path).inputFiles()], "path string")
-    return files.repartition(_tasks(spark)).mapInArrow(groups, "path string, row_group bigint, first bigint, n bigint").withColumn("file", _file("path"))
+    found = files.repartition(tasks(spark)).mapInArrow(groups, "path string, row_group bigint, first bigint, n bigint").withColumn("file", file_number("path"))
+    return found.withColumn("block", F.explode(F.when(F.col("n") > 0, F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK)))))
 
 
-def _tasks(spark: SparkSession) -> int:
+def tasks(spark: SparkSession) -> int:
     """A number of partitions of its own, since rows that name files are too few bytes to be left to AQE."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,8 +92,7 @@ def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataF
     """
     schema = T.StructType([f for f in spark.read.parquet(path).select(*columns).schema])
     arrow = to_arrow_schema(schema)
-    units = _units(spark, path).withColumn("block", F.explode(F.when(F.col("n") > 0, F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK)))))
-    joined = units.join(vectors, ["file", "block"], "left")
+    joined = units(spark, path).join(vectors, ["file", "block"], "left")
     work = joined.groupBy("path", "row_group", "first", "n").agg(F.collect_list(F.struct("block", "kept")).alias("maps"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def read_with_vectors(spark: SparkSession, path: str | list[str], vectors: DataF
                         if len(chosen):
                             yield pa.Table.from_batches([chosen]).select(columns).cast(arrow).combine_chunks().to_batches()[0]
 
-    return work.repartition(_tasks(spark), "path", "row_group").mapInArrow(read, schema)
+    return work.repartition(tasks(spark), "path", "row_group").mapInArrow(read, schema)
 
 
 def surplus_rows(spark: SparkSession, path: str | list[str], ident: Column, order: list[str], columns: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ HEAVY_SHARE, CHUNK_ROWS = 0.05, 250_000
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the consolidated files: each readable WAL record and each job, once."""
-    out = compaction.consolidated_objects(table(spark, sf_dir, "blob_objects").select("obj_key", "modified_at", "raw"))
+    out = compaction.consolidated_files(spark, f"{sf_dir}/blob_objects.parquet")
     return out.where("rec_key is not null").select("obj_kind", "stream_name", "rec_key")
 
 
