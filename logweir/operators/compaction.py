@@ -113,6 +113,17 @@ def consolidate(records: DataFrame, name: str, target_bytes: int = 128 << 20) ->
     return spark.read.schema(records.schema).parquet(packed)
 
 
+def _wal_keys(record: Column) -> tuple[Column, Column]:
+    """Stream and id of a WAL record; both null unless it has both."""
+    stream, ident = F.try_variant_get(record, "$.l.stream", "string"), F.try_variant_get(record, "$.d._id", "string")
+    known = stream.isNotNull() & ident.rlike(r"^-?\d+$")
+    return F.when(known, stream), F.when(known, F.regexp_replace(ident, r"^(-?)0+(?=\d)", "$1"))
+
+
+def _job_key(job: Column) -> Column:
+    return F.lower(F.regexp_replace(F.try_variant_get(job, "$.id", "string"), r"[\s{}-]", ""))
+
+
 def wal_records(objects: DataFrame) -> DataFrame:
     """Readable lines of WAL objects: (obj_kind, stream_name, rec_key, body, version).
 
@@ -121,12 +132,11 @@ def wal_records(objects: DataFrame) -> DataFrame:
     """
     lines = objects.where(F.col("obj_key").startswith("wal/")).select("obj_key", "modified_at", "spot", F.posexplode(F.split("raw", "\r?\n")).alias("line", "body"))
     read = lines.where(F.trim("body") != "").withColumn("v", F.try_parse_json("body")).where("v is not null")
-    stream, ident = F.try_variant_get("v", "$.l.stream", "string"), F.try_variant_get("v", "$.d._id", "string")
-    known = stream.isNotNull() & ident.rlike(r"^-?\d+$")
+    stream, key = _wal_keys(F.col("v"))
     return read.select(
         F.lit("wal").alias("obj_kind"),
-        F.when(known, stream).alias("stream_name"),
-        F.when(known, F.regexp_replace(ident, r"^(-?)0+(?=\d)", "$1")).alias("rec_key"),
+        stream.alias("stream_name"),
+        key.alias("rec_key"),
         "body",
         F.struct("modified_at", "obj_key", "line", "spot").alias("version"),
     )
@@ -137,34 +147,30 @@ def queue_records(objects: DataFrame) -> DataFrame:
     files = objects.where(F.col("obj_key").startswith("queue/")).select("obj_key", "modified_at", "spot", F.try_parse_json("raw").alias("v"))
     jobs = F.try_variant_get("v", "$.jobs", "array<variant>")
     each = files.select("obj_key", "modified_at", "spot", F.posexplode(jobs).alias("line", "job"))
-    ident = F.try_variant_get("job", "$.id", "string")
     return each.select(
         F.lit("queue").alias("obj_kind"),
         F.lit("").alias("stream_name"),
-        F.lower(F.regexp_replace(ident, r"[\s{}-]", "")).alias("rec_key"),
+        _job_key(F.col("job")).alias("rec_key"),
         F.to_json("job").alias("body"),
         F.struct("modified_at", "obj_key", "line", "spot").alias("version"),
     )
 
 
 def winners(records: DataFrame) -> DataFrame:
-    """Each record once, as last written, by its place: (spot, line, obj_kind, stream_name, rec_key).
+    """Each record once, as last written, by its place: (spot, line).
 
     Bodies stay where they are: a record without key is told apart by a 256-bit hash of its text.
     Combined before the shuffle, so copies stay local.
     """
     keyless = F.when(F.col("rec_key").isNull(), F.sha2("body", 256))
     best = records.groupBy("obj_kind", "stream_name", "rec_key", keyless.alias("text_hash")).agg(F.max("version").alias("best"))
-    return best.select("best.spot", "best.line", "obj_kind", "stream_name", "rec_key")
-
-
-RECORDS = "obj_kind string, stream_name string, rec_key string, body string, obj_key string, line int"
+    return best.select("best.spot", "best.line")
 
 
 def _bodies(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
     """The winning records with their bodies: each task reads one row group with the places of its winners."""
     block = F.floor(F.col("spot.row") / BLOCK)
-    places = found.select(F.col("spot.file").alias("file"), block.alias("block"), F.struct(F.col("spot.row").alias("row"), "line", "obj_kind", "stream_name", "rec_key").alias("at"))
+    places = found.select(F.col("spot.file").alias("file"), block.alias("block"), F.struct(F.col("spot.row").alias("row"), "line").alias("at"))
     lists = places.groupBy("file", "block").agg(F.collect_list("at").alias("at"))
     work = units(spark, path).join(lists, ["file", "block"]).groupBy("path", "row_group", "first", "n").agg(F.flatten(F.collect_list("at")).alias("at"))
 
@@ -179,7 +185,7 @@ def _bodies(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
                 first, by_row = unit["first"], {}
                 for a in unit["at"]:
                     if first <= a["row"] < first + unit["n"]:
-                        by_row.setdefault(a["row"] - first, []).append(a)
+                        by_row.setdefault(a["row"] - first, []).append(a["line"])
                 with open_input(unit["path"]) as f:
                     at = 0
                     for part in pq.ParquetFile(f).iter_batches(batch_size=1024, row_groups=[unit["row_group"]], columns=["obj_key", "raw"]):
@@ -189,17 +195,16 @@ def _bodies(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
                             if not wanted:
                                 continue
                             key, raw = part.column("obj_key")[i].as_py(), part.column("raw")[i].as_py()
-                            jobs = wanted[0]["obj_kind"] == "queue"
+                            jobs = key.startswith("queue/")
                             parts = json.loads(raw)["jobs"] if jobs else re.split("\r?\n", raw)
-                            for a in wanted:
-                                body = parts[a["line"]]
-                                out.append((a["obj_kind"], a["stream_name"], a["rec_key"], json.dumps(body, ensure_ascii=False, separators=(",", ":")) if jobs else body, key, a["line"]))
+                            out += [(json.dumps(parts[n], ensure_ascii=False, separators=(",", ":")) if jobs else parts[n], key, n) for n in wanted]
                         at += len(part)
                         if out:
-                            kinds = [pa.string()] * 5 + [pa.int32()]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["obj_kind", "stream_name", "rec_key", "body", "obj_key", "line"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.string(), pa.int32()))], names=["body", "obj_key", "line"])
 
-    return work.repartition(tasks(spark), "path", "row_group").mapInArrow(read, RECORDS)
+    bodies = work.repartition(tasks(spark), "path", "row_group").mapInArrow(read, "body string, obj_key string, line int").withColumn("v", F.parse_json("body"))
+    job, (stream, key) = F.col("obj_key").startswith("queue/"), _wal_keys(F.col("v"))
+    return bodies.select(F.when(job, "queue").otherwise("wal").alias("obj_kind"), F.when(job, "").otherwise(stream).alias("stream_name"), F.when(job, _job_key(F.col("v"))).otherwise(key).alias("rec_key"), "body", "obj_key", "line")
 
 
 def consolidated_objects(objects: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
