@@ -12,6 +12,7 @@ from .functions.jsonvals import json_type, text_of, widened
 from .functions.labels import label_text, labels_match, stream_id
 from .operators import query as q
 from .operators import skew, trigram
+from .operators.compaction import FOOTERS, footers
 from .operators.segments import Segments
 from .session import written
 from .sources import blobs, wal
@@ -181,6 +182,20 @@ class LogDB:
         fields = F.concat(texts("ints"), texts("floats"), texts("strings"), texts("bools"))
         return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.when(F.size(fields) > 0, F.concat(F.lit(","), F.array_join(fields, ","))).otherwise(""), F.lit("}"))
 
+    def label_sets(self) -> DataFrame:
+        """(label_set, stream_id, n_documents) of the archive: its streams by their labels."""
+        return self.archive.read().groupBy("label_set").agg(F.first("stream_id").alias("stream_id"), F.count(F.lit(1)).alias("n_documents"))
+
+    def directory(self) -> DataFrame:
+        """(path, size, schema_key, n_blocks, n_rows) of the archive's files, from their footers alone."""
+        live = [footers(self.spark, self.archive.path(r["name"])) for r in self.archive.live()]
+        if not live:
+            return self.spark.createDataFrame([], FOOTERS)
+        out = live[0]
+        for other in live[1:]:
+            out = out.unionAll(other)
+        return out
+
     # --- reading
 
     def query(self, labels: dict[str, str], text: str) -> DataFrame:
@@ -215,6 +230,10 @@ class LogDB:
         self.segments.append(lambda folder: found.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(folder), of=[r["name"] for r in new])
         return n
 
+    def load_index(self) -> DataFrame:
+        """The whole index held by the executors, as far as they have room; ``unpersist`` lets it go."""
+        return self.segments.read().persist()
+
     def search(self, text: str) -> DataFrame:
         """(stream_id, _id, document) of documents that hold a text: indexed ones by index, short texts by scan."""
         rows = self.archive.read().withColumn("document_id", F.col("_id"))

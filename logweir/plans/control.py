@@ -199,6 +199,17 @@ def recover_last_ids(spark, sf):
     return _database(spark, sf).last_ids().select("stream_id", "n_documents", id_ms(F.col("last_id")).alias("last_ms"))
 
 
+@_query(f"SELECT array_to_string(list_transform(list_sort(map_entries(l)), lambda e: e.key || '=' || e.value), ',') AS label_set, min(stream_id) AS stream_id, count(*) AS n_documents FROM wal_records WHERE {_VALID} GROUP BY 1")
+def db_label_sets(spark, sf):
+    return _database(spark, sf).label_sets()
+
+
+@_query(f"SELECT count(*) AS n_rows FROM {_DOCUMENTS} AS t")
+def db_directory(spark, sf):
+    """Rows that the footers of the archive's files tell."""
+    return _database(spark, sf).directory().agg(F.sum("n_rows").alias("n_rows"))
+
+
 @_query(f"SELECT msg, ts FROM {_DOCUMENTS} AS t")
 def stream_append(spark, sf):
     """Documents appended to the log by a stream: only valid ones, each batch whole."""

@@ -9,7 +9,7 @@ from ..functions import codecs, ids, results
 from ..functions.labels import label_text, stream_id
 from ..functions.jsonvals import exploded, json_type, text_type
 from ..operators import archive, query, queue, skew, trigram
-from ..session import scratch, table, written
+from ..session import kept, scratch, table, written
 from ..sources import blobs, wal
 from ..streaming import ingest
 from ..streaming.ids import with_stream_ids
@@ -284,19 +284,11 @@ def rollup_time(spark, sf):
     return archive.rollup_time(table(spark, sf, "events"), F.col("ts"), "hour", ["event_type"], "value")
 
 
-@_query(f"""
-    SELECT rec_no, regexp_extract(msg, '(?:^| )(?:level|lvl)=(\\w+)', 1) AS lvl, regexp_extract(msg, '^(?:time="([^"]+)"|level=\\w+ ts=(\\S+)|ts=(\\S+))', 1) AS at
-    FROM {_LOGS} AS t WHERE msg LIKE 'time="%'""")
-def logfmt_parse(spark, sf):
-    rows = query.logs(_wal(spark, sf)).where(F.col("msg").startswith('time="')).withColumn("f", archive.logfmt(F.split_part(F.col("msg"), F.lit("\n"), F.lit(1))))
-    return rows.select("rec_no", F.col("f")["lvl"].alias("lvl"), F.col("f")["time"].alias("at"))
-
-
 @_query(f"""
     SELECT rec_no, nullif(regexp_extract(line, '(?:^| )(?:level|lvl)=(\\w+)', 1), '') AS lvl, nullif(trim(regexp_extract(line, '(?:^| )(?:time|ts)=("[^"]+"|\\S+)', 1), '"'), '') AS at
     FROM (SELECT rec_no, split_part(msg, chr(10), 1) AS line FROM {_LOGS} AS t) AS u WHERE regexp_matches(line, '^[A-Za-z_][\\w.]*=')""")
 def logfmt_lines(spark, sf):
-    """As ``logfmt_parse``, for every line of keys and values, whatever its first key."""
+    """Level and time of every line of keys and values, whatever its first key."""
     line = F.split_part(F.col("msg"), F.lit("\n"), F.lit(1))
     rows = query.logs(_wal(spark, sf)).withColumn("line", line).where(F.col("line").rlike(r"^[A-Za-z_][\w.]*=")).withColumn("f", archive.logfmt(F.col("line")))
     return rows.select("rec_no", F.coalesce(F.col("f")["level"], F.col("f")["lvl"]).alias("lvl"), F.coalesce(F.col("f")["time"], F.col("f")["ts"]).alias("at"))
@@ -344,7 +336,7 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
     """The stored index of all texts, written once for each application and folder of tables."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
-        path = scratch(spark, "trigram")
+        path = kept(spark, "trigram")
         trigram.stored(trigram.postings(_texts(spark, sf), "text", padded=False), path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

@@ -36,6 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logweir/{name}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, name: str) -> str:
+    """As ``scratch``, for what outlives the query that writes it: ``drop_scratch`` leaves it."""
+    return f"{shared_dir(spark)}/logweir-kept/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back.
 

@@ -262,7 +262,8 @@ def test_database_archives_levels_and_index(spark, tmp_path):
     assert json.loads(got[0]["document"]).keys() == {"msg", "ts", "v", "ok", "o"}
     keys = spark.createDataFrame([(fnv("appb"), (7 << 20) + 1), (fnv("appa"), (7 << 20) + 2)], "stream_id bigint, _id bigint")
     assert [r["_id"] for r in db.get(keys).collect()] == [(7 << 20) + 1]
-    assert db.index() == 18 and db.index() == 0 and db.search("turn 2").count() == 5 and db.search("Ci").count() == 3
+    assert {(r["label_set"], r["n_documents"]) for r in db.label_sets().collect()} == {("app=a", 15), ("app=b", 3)} and db.directory().agg({"n_rows": "sum"}).first()[0] == 18
+    assert db.index() == 18 and db.load_index().unpersist().count() > 18 and db.index() == 0 and db.search("turn 2").count() == 5 and db.search("Ci").count() == 3
 
 
 def test_database_merges_small_log_files_and_levels(spark, tmp_path, monkeypatch):

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from logweir.operators import logparse
 from logweir.plans import core
 
@@ -37,8 +39,8 @@ def test_rare_layout_among_many_lines(spark):
 
 def test_logfmt_of_every_first_key(spark, sf):
     got = core.QUERIES["logfmt_lines"](spark, sf).collect()
-    assert {r["rec_no"] for r in got} > {r["rec_no"] for r in core.QUERIES["logfmt_parse"](spark, sf).collect()}
-    assert all(r["lvl"] and r["at"] for r in got)
+    first = {json.loads(r["d"])["msg"].partition("=")[0] for r in spark.read.parquet(f"{sf}/wal_records.parquet").where(F.col("rec_no").isin(*[r["rec_no"] for r in got])).collect()}
+    assert len(first) > 1 and all(r["lvl"] and r["at"] for r in got)
 
 
 WORDS = ["opened", "closed", "retried", "merged", "split", "lost", "found", "kept", "sent", "read", "wrote", "slept"]
