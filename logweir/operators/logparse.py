@@ -64,10 +64,11 @@ _TIMES = [
 _TIME = "(?=[0-9A-Z])(?:" + "|".join(_TIMES) + ")"
 _GTIME = r"^[VTDINWEFC]\d{4} \d\d:\d\d:\d\d\.\d+"
 _WORDS = "|".join(sorted({w for ws in LEVELS.values() for w in ws if len(w) > 2}, key=len, reverse=True))
+# looks at a match's first character before anything else, which is quicker
 _LEVEL = (
-    rf"(?=[a-zA-Z])(?<![\w.-])(?i:{_WORDS})(?![\w.-])"
+    rf"(?=[{''.join(sorted({w[0] + w[0].upper() for ws in LEVELS.values() for w in ws}))}])(?:(?<![\w.-])(?i:{_WORDS})(?![\w.-])"
     r"|(?<=\|)[VTDINWEFC](?=\|)|(?<=\s)[VTDINWEFC](?=/)|(?<=\()(?:TT|DD|II|NN|WW|EE|FF|CC)(?=\))"
-    r'|(?<="(?:level|lvl|severity)":)[1-6]0(?=[,}])'
+    r'|(?<="(?:level|lvl|severity)":)[1-6]0(?=[,}]))'
 )
 # Matches start at a word's start and give nothing back, so that they take linear time on a text
 # without blanks; nothing is repeated but single characters and short parts, which needs no stack.
@@ -107,15 +108,17 @@ def skeleton(shape: Column) -> Column:
 
 def with_shapes(lines: DataFrame) -> DataFrame:
     """Adds to ``line``: its text without colours and quoted values (``bare``), and its shape."""
-    bare = lines.withColumn("line", without_colour(F.regexp_replace("line", "\r$", ""))).withColumn("bare", _bare(F.col("line")))
+    bare = lines.withColumn("line", without_colour(F.when(F.endswith("line", F.lit("\r")), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")))).withColumn("bare", _bare(F.col("line")))
     x = F.regexp_replace("bare", _GTIME, GTIME)
     x = F.regexp_replace(x, _TIME, TIME)
     x = F.regexp_replace(x, _LEVEL, LEVEL)
     x = F.regexp_replace(x, _NAME, NAME)
     x = F.regexp_replace(x, _WORD, WORD)
-    x = F.regexp_replace(x, r"[ \t]+", " ")
     syslog = rf"^((?:<{WORD}>)?(?:{WORD} )?{TIME} )\S+ [^\s\[]+(?=\[{WORD}\]:)|^(<{WORD}>{WORD} {TIME} )\S+ \S+(?= (?:{WORD}|-) )"
-    shaped = bare.withColumn("shape", x).withColumn(
+    typed = bare.withColumn("shape", x)
+    shape = F.col("shape")
+    single = typed.withColumn("shape", F.when(F.contains(shape, F.lit("  ")) | F.contains(shape, F.lit("\t")), F.regexp_replace(shape, r"[ \t]+", " ")).otherwise(shape))
+    shaped = single.withColumn(
         "shape", F.when(F.col("shape").rlike(syslog), F.regexp_replace("shape", syslog, f"$1$2{HOST} {PROGRAM}")).otherwise(F.col("shape"))
     )
     return shaped
@@ -327,7 +330,8 @@ def time_ms(text: Column, near: Column) -> Column:
 
 def _message_lines(rows: DataFrame, document: str, near: Column, keep: list[Column]) -> DataFrame:
     """Kept columns, ``near`` and ``msg`` of documents that are JSON with a text message."""
-    read = rows.select(*keep, near.alias("fallback"), F.try_parse_json(document).alias("v")).where("v is not null")
+    # exploded, so that conditions on what is parsed don't parse it again for themselves
+    read = rows.select(*keep, near.alias("fallback"), F.explode(F.array(F.try_parse_json(document))).alias("v")).where("v is not null")
     text = F.try_variant_get("v", "$.msg", "string")
     names = [c for c in read.columns if c not in ("fallback", "v")]
     return read.select(*names, F.coalesce(F.try_variant_get("v", "$.ts", "bigint"), "fallback").alias("near"), text.alias("msg")).where("msg is not null")
