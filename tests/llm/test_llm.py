@@ -29,6 +29,8 @@ def test_terms_brute_force(spark):
         want[t] = (sum(c[0] == t for c in clean), n, "rare" if n <= 2 else "common" if n > 0.2 * len(docs) else "")
     got = {r["term"]: (r["n_occurrences"], r["n_records"], r["mark"]) for r in terms.term_frequencies(df.drop("term")).collect()}
     assert got == want
+    fewer = terms.term_frequencies(df.drop("term"), occurrences=False).collect()
+    assert {r["term"]: (r["n_records"], r["mark"]) for r in fewer} == {t: w[1:] for t, w in want.items()}
     assert terms.term_frequencies(df.drop("term").limit(0)).count() == 0
 
 
