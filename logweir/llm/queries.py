@@ -10,8 +10,8 @@ from . import mixing, packing, pii, terms
 
 #: Key of the pseudonyms in these queries; a deployment passes its own secret.
 PSEUDONYM_KEY = b"public example key"
-#: Unused share of a capacity's containers from which ``p7_invariants`` counts it.
-LOOSE = 0.2
+#: Containers beside those of a perfect packing, and one, from which ``p7_invariants`` counts a capacity.
+LOOSE = 1.25
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda df, c, name: df.agg(F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(name)).withColumn("k", F.lit(1))
     out = one(fill, F.col("n") > F.col("capacity_tokens"), "n_over").join(one(texts, F.lit(1), "n_texts"), "k")
     out = out.join(one(texts, (F.col("n_parts") != due) | (F.col("n_pieces") != due), "n_wrong_parts"), "k")
-    return out.join(one(packing.fill_report(pieces), F.col("unused_share") > LOOSE, "n_loose"), "k").drop("k").where("n_texts > 0")
+    best = F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))
+    return out.join(one(packing.fill_report(pieces), F.col("n_containers") > LOOSE * best + 1, "n_loose"), "k").drop("k").where("n_texts > 0")
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
