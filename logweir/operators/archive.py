@@ -49,7 +49,22 @@ def write_archive(rows: DataFrame, path: str, bloom: list[str] = (), mode: str =
 
     Large streams are split by ranges of id, so no task writes a whole hot stream.
     """
-    out = rows.repartitionByRange("stream_id", "_id").sortWithinPartitions("stream_id", "_id").write.mode(mode).option("compression", "zstd")
+    _written_by_stream(rows.repartitionByRange("stream_id", "_id"), path, bloom, mode)
+
+
+def write_documents(documents: DataFrame, columns: list[tuple[str, str]], path: str, document: str = "d", bloom: list[str] = (), mode: str = "append") -> None:
+    """As ``write_archive``, of documents (_id, stream_id, JSON text), which are made columns behind the shuffle.
+
+    So the sample that the ranges are drawn from reads ids only. Text that is no JSON is left out.
+    """
+    placed = documents.select("_id", "stream_id", document).repartitionByRange("stream_id", "_id")
+    # exploded, so that the condition on what is parsed doesn't parse it again for itself
+    read = placed.select("_id", "stream_id", F.explode(F.array(F.try_parse_json(document))).alias("_doc")).where("_doc is not null")
+    _written_by_stream(projected(read, columns, ["_id", "stream_id"], "_doc"), path, bloom, mode)
+
+
+def _written_by_stream(placed: DataFrame, path: str, bloom: list[str], mode: str) -> None:
+    out = placed.sortWithinPartitions("stream_id", "_id").write.mode(mode).option("compression", "zstd")
     for c in bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
     out.partitionBy("stream_id").parquet(path)

@@ -261,7 +261,7 @@ def archive_roundtrip(spark, sf):
     """All fields of all documents as typed columns, written to the streams' folders and read again."""
     path = scratch(spark, "archive")
     rows, columns = _typed_rows(spark, sf)
-    archive.write_archive(rows, path, bloom=["_id"])
+    archive.write_documents(_wal(spark, sf).withColumn("_id", F.col("rec_no")), columns, path, bloom=["_id"])
     return _field_rows(archive.read_archive(spark, path, rows.schema), "_id", columns)
 
 
