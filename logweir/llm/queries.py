@@ -21,8 +21,8 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trigrams that are too rare or too common to help a search."""
-    terms_of = terms.term_frequencies(table(spark, sf_dir, "postings"), occurrences=False)
-    return terms_of.where("mark <> ''").select(F.col("term").alias("trigram"), "mark")
+    # written whole, since a plan that ends in trigram and mark would prune positions and occurrences
+    return written(p3_terms(spark, sf_dir), "terms").where("mark <> ''").select("trigram", "mark")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,19 @@ def test_null_positions_count_once(spark):
     assert terms.term_frequencies(df).first()["n_occurrences"] == 2
 
 
+def test_marked_trigrams_are_chosen_among_counted_ones(spark, tmp_path, monkeypatch):
+    """p3_found reads its rows from all trigrams with their occurrences, which no plan may prune."""
+    rows = [("AA", 1, d, p) for d in range(20) for p in range(3)] + [("aa", 1, 0, 0), ("bb", 1, 0, 5), ("bb", 1, 0, 6), ("Bb", 2, 0, 5), ("cc", 1, None, 1)]
+    rows += [("dd", 1, d, 9) for d in range(3)]
+    spark.createDataFrame(rows, "trigram string, stream_id bigint, document_id bigint, position bigint").write.parquet(f"{tmp_path}/postings.parquet")
+    kept = []
+    monkeypatch.setattr(queries, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    found = queries.p3_found(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("aa", "common"), ("bb", "rare")}
+    assert len(kept) == 1 and sorted(found.inputFiles()) == sorted(kept[0].inputFiles())
+    assert {tuple(r) for r in kept[0].select("trigram", "n_occurrences", "n_records", "mark").collect()} == {("aa", 60, 20, "common"), ("bb", 3, 2, "rare"), ("dd", 3, 3, "")}
+
+
 # --- packing
 
 
