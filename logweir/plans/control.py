@@ -127,10 +127,10 @@ def queue_split_stored(spark, sf):
     """Files split on the bucket: the first half of the jobs is in the new file."""
 
     def begin(jobs, f):
-        before = set(jobs.file_ids())
         jobs.change(f, lambda s: s | {"status": queue.PREPARING})
-        jobs.split(f)
-        return (set(jobs.file_ids()) - before).pop()
+        if (into := jobs.split(f)) is None:
+            raise RuntimeError(f"{f} was not split")
+        return into
 
     return _halves(spark, sf, begin)
 

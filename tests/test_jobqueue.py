@@ -1,11 +1,13 @@
 """The job queue on a bucket: life of jobs, splitting and its recovery, and writers at the same time."""
 
+import json
 import threading
 from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from logweir.operators import jobqueue
+from logweir.plans import control
 from logweir.sources import blobs
 
 
@@ -56,6 +58,24 @@ def test_large_files_are_split_once_their_jobs_are_pending(jobs, clock):
     assert [j["payload"] for j in jobs.read(next(f for f in jobs.file_ids() if f != file_id))[0]["jobs"]][:64] == list(range(64))
 
 
+def test_a_split_gives_the_id_of_the_new_file(jobs):
+    file_id = jobs.push(list(range(129)))
+    into = jobs.split(file_id)
+    assert jobs.file_ids() == sorted([file_id, into]) and jobs.split(file_id) is None
+
+
+def test_splitting_files_does_not_list_the_bucket_for_each(spark, tmp_path, monkeypatch):
+    job = lambda n, i: {"id": f"j{n}-{i}", "status": "in_progress" if (n, i) == (5, 0) else "pending"}
+    files = [(f"queue/f{n}.json", json.dumps({"status": "active", "jobs": [job(n, i) for i in range(3)]})) for n in range(6)]
+    spark.createDataFrame(files, "obj_key string, raw string").write.parquet(f"{tmp_path}/blob_objects.parquet")
+    listings, listed = [], blobs.Bucket.list
+    monkeypatch.setattr(blobs.Bucket, "list", lambda self, prefix="": listings.append(prefix) or listed(self, prefix))
+    found = control.queue_split_stored(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(f"f{n}", f"j{n}-{i}", i == 0) for n in range(5) for i in range(3)]
+    # once before the changes and once to go through the files, whatever their number
+    assert len(listings) == 2
+
+
 def test_a_file_in_use_is_not_split(jobs):
     file_id = jobs.push(list(range(128)))
     jobs.pull(10)
